@@ -26,5 +26,18 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_chat": op7_chat}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fm_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return fm_quality.score(docs, fm_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op5_pii, op6_quality, op7_chat)}
 ORACLE: dict[str, str] = {}
