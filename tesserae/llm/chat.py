@@ -71,7 +71,7 @@ def paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     ids = rows.select("conv_id", "msg_id")
     linked = rows.alias("a").join(ids.alias("b"), _on("a", "parent_id", "b", "msg_id"), "left").select("a.conv_id", "a.msg_id", F.col("b.msg_id").alias("up"), F.col("a.score").alias("total"), F.lit(1).cast("long").alias("depth"))
     hops = [saved(linked)]
-    left = hops[-1].filter("up is not null").count()
+    left, reach = hops[-1].filter("up is not null").count(), 2 * rows.count()
     while left:
         h = hops[-1]
         step = h.alias("a").join(h.alias("b"), _on("a", "up", "b", "msg_id"), "left").select(
@@ -79,7 +79,7 @@ def paths(messages: DataFrame, top: int | None = None) -> DataFrame:
         )
         hops.append(saved(step))
         before, left = left, hops[-1].filter("up is not null").count()
-        if left == before and 2 ** len(hops) > rows.count():
+        if left == before and 2 ** len(hops) > reach:
             break  # only cycles are left
     ends = hops[-1].filter("up is null")
     parents = hops[0].filter("up is not null").select("conv_id", F.col("up").alias("msg_id")).distinct()
@@ -91,7 +91,7 @@ def paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     on_path = ranked.withColumn("msg_id", F.col("leaf"))
     for h in reversed(hops):
         more = on_path.alias("a").join(h.filter("up is not null").alias("b"), _on("a", "msg_id", "b", "msg_id")).select("a.conv_id", "a.leaf", "a.path_score", "a.branch", F.col("b.up").alias("msg_id"))
-        on_path = on_path.unionByName(more)
+        on_path = saved(on_path.unionByName(more))  # else the plan doubles with each hop
     level = ends.select("conv_id", "msg_id", "depth")
     full = rows.alias("a").join(level.alias("b"), _on("a", "msg_id", "b", "msg_id")).select("a.conv_id", "a.msg_id", "a.role", "a.text", "b.depth")
     return on_path.alias("a").join(full.alias("b"), _on("a", "msg_id", "b", "msg_id")).select("a.conv_id", "a.leaf", "a.branch", "a.path_score", "b.depth", "b.role", "b.text")

@@ -13,7 +13,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     extra = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    fixed = spark.createDataFrame([(-1, 0, "user", extra), (-1, 1, "assistant", extra)], rows.schema)
+    fixed = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(extra).alias("text"))
     out = chat.read_back(chat.format_paths(chat.paths(chat.chain(rows.unionByName(fixed)))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
