@@ -39,5 +39,52 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_quality.score(docs, fm_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op5_pii, op6_quality, op7_chat)}
-ORACLE: dict[str, str] = {}
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    out = line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("clean_chars"), F.sha2("text", 256).alias("clean_sha256"))
+
+
+OP2_SQL = """
+WITH l AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT trim(unnest(ls)) AS line, coalesce(source, chr(0)) AS site FROM l),
+b AS (SELECT list(line) AS bad FROM (SELECT line FROM e WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10)),
+c AS (SELECT doc_id, ls, list_filter(ls, lambda x: NOT coalesce(list_contains(bad, trim(x)), false)) AS kept FROM l, b)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(kept) AS BIGINT) AS n_removed,
+       CAST(length(coalesce(array_to_string(kept, chr(10)), '')) AS BIGINT) AS clean_chars, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS clean_sha256
+FROM c
+"""
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import piece_match
+
+    return piece_match.tokenize(table(spark, sf_dir, "documents"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = """
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+t AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)),
+n AS (SELECT item_id, count(*) AS n_item FROM t GROUP BY item_id),
+s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN t USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGINT) AS n_shared, n_shared / n_item AS containment
+FROM s JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.8)
+"""
+
+QUERIES = {f.__name__: f for f in (op2_lines, op3_licenses, op5_pii, op6_quality, op7_chat, op9_pieces, op10_decontam)}
+ORACLE: dict[str, str] = {"op2_lines": OP2_SQL, "op10_decontam": OP10_SQL}
