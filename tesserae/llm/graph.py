@@ -1,0 +1,31 @@
+"""Connected components of an edge table, by label hooking and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node in ``edges`` (a, b): label is the smallest node reachable.
+
+    Each round a node takes the smallest label among its neighbours, hands it to the node its
+    old label names, and jumps to the label of its label; the rounds grow with the logarithm of
+    the longest path.  Minima are combined before each shuffle, so a hub costs one row a task.
+    Null ends and self-loops are ignored.
+    """
+    e = edges.filter("a <> b").select("a", "b")
+    e = saved(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    lab = saved(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    while True:
+        near = e.join(lab.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node")
+        step = saved(lab.join(near, "node").select("node", "label", F.least("label", "m").alias("low")))
+        hook = step.groupBy("label").agg(F.min("low").alias("hooked"))
+        low = saved(step.join(hook, "label").select("node", F.col("label").alias("old"), F.least("low", "hooked").alias("label")))
+        jump = low.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        nxt = saved(low.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
+        lab = nxt.select("node", "label")
+        if nxt.filter("label <> old").isEmpty():
+            return lab

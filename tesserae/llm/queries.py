@@ -63,6 +63,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hyperminhash
+
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import piece_match
 
@@ -86,5 +92,5 @@ SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGIN
 FROM s JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.8)
 """
 
-QUERIES = {f.__name__: f for f in (op2_lines, op3_licenses, op5_pii, op6_quality, op7_chat, op9_pieces, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op2_lines, op3_licenses, op5_pii, op6_quality, op7_chat, op8_minhash, op9_pieces, op10_decontam)}
 ORACLE: dict[str, str] = {"op2_lines": OP2_SQL, "op10_decontam": OP10_SQL}
