@@ -26,6 +26,14 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vptree
+    from .common import saved
+
+    vectors = saved(vptree.valid(table(spark, sf_dir, "embeddings")))
+    return vptree.search(vptree.index(vectors), vectors.filter("vec_id % 100 = 0"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -92,5 +100,5 @@ SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGIN
 FROM s JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.8)
 """
 
-QUERIES = {f.__name__: f for f in (op2_lines, op3_licenses, op5_pii, op6_quality, op7_chat, op8_minhash, op9_pieces, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op2_lines, op3_licenses, op4_vptree, op5_pii, op6_quality, op7_chat, op8_minhash, op9_pieces, op10_decontam)}
 ORACLE: dict[str, str] = {"op2_lines": OP2_SQL, "op10_decontam": OP10_SQL}
