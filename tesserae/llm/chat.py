@@ -70,19 +70,28 @@ def paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     )
     ids = rows.select("conv_id", "msg_id")
     linked = rows.alias("a").join(ids.alias("b"), _on("a", "parent_id", "b", "msg_id"), "left").select("a.conv_id", "a.msg_id", F.col("b.msg_id").alias("up"), F.col("a.score").alias("total"), F.lit(1).cast("long").alias("depth"))
-    hops = [saved(linked)]
-    left, reach = hops[-1].filter("up is not null").count(), 2 * rows.count()
-    while left:
-        h = hops[-1]
-        step = h.alias("a").join(h.alias("b"), _on("a", "up", "b", "msg_id"), "left").select(
-            "a.conv_id", "a.msg_id", F.col("b.up").alias("up"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth")
+    state = saved(linked)
+    hops, ends = [state.filter("up is not null")], [state.filter("up is null")]
+    left, reach = hops[0].count(), 2 * rows.count()
+    while left:  # only rows whose link has not passed the root are joined again
+        step = hops[-1].alias("a").join(state.alias("b"), _on("a", "up", "b", "msg_id")).select(
+            "a.conv_id", "a.msg_id", F.col("b.up").alias("up"), (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.depth") + F.col("b.depth")).alias("depth")
         )
-        hops.append(saved(step))
-        before, left = left, hops[-1].filter("up is not null").count()
+        step = saved(step)
+        state = ends[0]
+        for e in ends[1:]:
+            state = state.unionByName(e)
+        state = state.unionByName(step)
+        hops.append(step.filter("up is not null"))
+        ends.append(step.filter("up is null"))
+        before, left = left, hops[-1].count()
         if left == before and 2 ** len(hops) > reach:
             break  # only cycles are left
-    ends = hops[-1].filter("up is null")
-    parents = hops[0].filter("up is not null").select("conv_id", F.col("up").alias("msg_id")).distinct()
+    all_ends = ends[0]
+    for e in ends[1:]:
+        all_ends = all_ends.unionByName(e)
+    ends = all_ends
+    parents = hops[0].select("conv_id", F.col("up").alias("msg_id")).distinct()
     leaves = ends.alias("a").join(parents.alias("b"), _on("a", "msg_id", "b", "msg_id"), "left_anti")
     leaves = leaves.select("conv_id", F.col("msg_id").alias("leaf"), (F.col("total") / F.col("depth")).alias("path_score"))
     ranked = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "leaf")))
@@ -90,7 +99,7 @@ def paths(messages: DataFrame, top: int | None = None) -> DataFrame:
         ranked = ranked.filter(F.col("branch") <= top)
     on_path = ranked.withColumn("msg_id", F.col("leaf"))
     for h in reversed(hops):
-        more = on_path.alias("a").join(h.filter("up is not null").alias("b"), _on("a", "msg_id", "b", "msg_id")).select("a.conv_id", "a.leaf", "a.path_score", "a.branch", F.col("b.up").alias("msg_id"))
+        more = on_path.alias("a").join(h.alias("b"), _on("a", "msg_id", "b", "msg_id")).select("a.conv_id", "a.leaf", "a.path_score", "a.branch", F.col("b.up").alias("msg_id"))
         on_path = saved(on_path.unionByName(more))  # else the plan doubles with each hop
     level = ends.select("conv_id", "msg_id", "depth")
     full = rows.alias("a").join(level.alias("b"), _on("a", "msg_id", "b", "msg_id")).select("a.conv_id", "a.msg_id", "a.role", "a.text", "b.depth")
