@@ -106,3 +106,11 @@ def text_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

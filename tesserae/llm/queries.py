@@ -47,6 +47,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_quality.score(docs, fm_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import column_bwt
+
+    return column_bwt.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
@@ -100,5 +106,5 @@ SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGIN
 FROM s JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.8)
 """
 
-QUERIES = {f.__name__: f for f in (op2_lines, op3_licenses, op4_vptree, op5_pii, op6_quality, op7_chat, op8_minhash, op9_pieces, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_lines, op3_licenses, op4_vptree, op5_pii, op6_quality, op7_chat, op8_minhash, op9_pieces, op10_decontam)}
 ORACLE: dict[str, str] = {"op2_lines": OP2_SQL, "op10_decontam": OP10_SQL}
