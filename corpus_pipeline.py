@@ -11,18 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontam, fm_quality, hyperminhash, line_dedup, piece_match
-from tesserae.llm.common import saved, table
+from tesserae.llm.common import fresh, saved, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores under 0.3 go."""
     model = fm_quality.train(docs, table(spark, sf_dir, "labels"))
-    return fm_quality.score(docs, model, keep_columns=True).filter("fm_score >= 0.3").drop("fm_score")
+    return fm_quality.score(docs, model, keep_columns=True).filter(F.col(fresh("fm_score", docs.columns)) >= 0.3).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found on ten or more sources go from every document."""
-    out = line_dedup.clean(docs).drop("n_lines", "n_removed")
+    out = line_dedup.clean(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_VALUES, blocks, prefix_sums, range_hashes, text_bytes, words_of
+from .common import LOWER_VALUES, blocks, fresh, prefix_sums, range_hashes, text_bytes, words_of
 
 BUCKETS = 1 << 13
 FACTORS = 8
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> dict:
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.3, keep_columns: bool = False) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row; with keep_columns the rows themselves plus score."""
+    """(doc_id, held_out, score, predicted) per row; with keep_columns the rows themselves plus fm_score (underscores added where docs has that column)."""
     import pyarrow as pa
 
     def scored(b):
@@ -164,11 +164,13 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3, keep_columns: bo
         return np.concatenate(out) if out else np.zeros(0)
 
     if keep_columns:
+        name = fresh("fm_score", docs.columns)
+
         def run(batches):
             for b in batches:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scored(b))], names=[*b.schema.names, "fm_score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scored(b))], names=[*b.schema.names, name])
 
-        return docs.mapInArrow(run, docs.withColumn("fm_score", F.lit(0.0)).schema)
+        return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
 
     def slim(batches):
         for b in batches:

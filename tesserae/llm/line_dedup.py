@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import fresh, saved
 
 KEY = ["h1", "h2"]
 
@@ -43,15 +43,16 @@ def boilerplate(docs: DataFrame, site: str = "source", threshold: int = 10, lg_k
 
 
 def clean(docs: DataFrame, site: str = "source", threshold: int = 10) -> DataFrame:
-    """The rows of docs with ``text`` cleaned, plus n_lines and n_removed."""
+    """The rows of docs with ``text`` cleaned, plus n_lines and n_removed (with underscores added where docs has such a column)."""
     import pyarrow as pa
 
     bad = boilerplate(docs, site, threshold)
     hits = _lines(docs, site).join(bad, KEY).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("hit_pos"))
-    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = keyed.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash")), "left")
-    both = both.select(*[F.col(f"d.`{c}`") for c in docs.columns], "h.hit_pos")
-    shown = both.drop("hit_pos").withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")})
+    key, found, total_name, gone_name = (fresh(n, docs.columns) for n in ("text_hash", "hit_pos", "n_lines", "n_removed"))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = keyed.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col(f"d.{key}") == F.col("h.text_hash")), "left")
+    both = both.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("h.hit_pos").alias(found))
+    shown = both.drop(found).withColumns({total_name: F.lit(0).cast("long"), gone_name: F.lit(0).cast("long")})
 
     def run(batches):
         for b in batches:
@@ -64,8 +65,8 @@ def clean(docs: DataFrame, site: str = "source", threshold: int = 10) -> DataFra
                 out.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else t or "")
                 total.append(len(lines))
                 gone.append(len(drop))
-            columns = [c for i, c in enumerate(b.columns[:-1])]
+            columns = list(b.columns[:-1])
             columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*b.schema.names[:-1], "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*b.schema.names[:-1], total_name, gone_name])
 
     return both.mapInArrow(run, shown.schema)
