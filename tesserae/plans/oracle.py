@@ -179,7 +179,7 @@ SELECT id, trim(cand) <> '' AND lower(trim(cand)) <> lower(trim(caption)) AND le
 CASE k % 6 WHEN 2 THEN 'a|b' WHEN 3 THEN p_name || '|' || p_type WHEN 4 THEN 'no json here' ELSE '' END AS normalised FROM ca""",
     "event_props": "SELECT event_type, key, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM (SELECT event_type, unnest(json_keys(props)) AS key, CAST(json_extract(props, '$.' || unnest(json_keys(props))) AS BIGINT) AS v FROM events) GROUP BY 1, 2",
     "hard_cases": f"{SCORED}, {HARD_31} SELECT h.id, em, round(tau, 6) AS tau, no_ordering, CASE WHEN lost THEN '' ELSE p.key END AS pred, u.key AS truth, round(score, 6) AS hard_score, CAST(1 + ceil(score * 4) AS BIGINT) AS caption_aug_repeats, round(0.3::DOUBLE + (0.9::DOUBLE - 0.3::DOUBLE) * score, 6) AS caption_aug_prob FROM h JOIN perm p ON p.idx = h.ix JOIN perm u ON u.idx = truth_at",
-    "variant_plan": f"{SCORED}, {HARD_ALL} SELECT id, CAST(greatest(0, least(4, 1 + ceil(score * 3))) AS BIGINT) AS n_variants FROM h",
+    "variant_plan": f"{SCORED}, {HARD_ALL} SELECT id, CAST(greatest(0, least(4, 1 + ceil(round(score, 6) * 3))) AS BIGINT) AS n_variants FROM h",
     "annotate_hard": f"""{BASE}, a AS (SELECT id, id % 10 <> 9 AS known FROM tr),
 b AS (SELECT id, known, CASE WHEN known AND id % 4 = 0 THEN least(1.0::DOUBLE, (id % 15) / 10.0::DOUBLE) WHEN known AND id % 3 = 0 THEN 0.0::DOUBLE WHEN known AND id % 3 = 1 THEN 1.0::DOUBLE WHEN known AND id % 5 = 0 THEN 0.0::DOUBLE ELSE 0.0::DOUBLE END AS s FROM a)
 SELECT id, CAST(CASE WHEN known AND id % 7 = 0 THEN 5 ELSE 1 + ceil(s * 4) END AS BIGINT) AS caption_aug_repeats, CASE WHEN known AND id % 6 = 0 THEN 1.0::DOUBLE ELSE round(0.3::DOUBLE + (0.9::DOUBLE - 0.3::DOUBLE) * s, 6) END AS caption_aug_prob, round(s, 6) AS hard_score FROM b""",
