@@ -8,8 +8,9 @@ register collisions, drops hopeless pairs, and full shingle sets confirm the oth
 
 Whatever stays split inside a proposed bucket is settled exactly: shingles that no other
 undecided document has bound a document's possible index from above.  Documents under the
-threshold are done; the rest are compared with the most central member, and the pairs of
-different components that the bounds still allow are then confirmed one by one.
+threshold are done; the rest are compared with the most central member.  What is then still
+split is settled by products of the incidence matrices of shared shingles, in chunks of a bucket
+that fit a task; a chunk pair returns at most one link for each component it joins, no pairs.
 
 Documents are grouped by the hash of their whole shingle set first, so copies cost one row
 each and no pair.  Defined results: null text counts as empty; documents without words have an
@@ -20,10 +21,10 @@ doc_id has a null component and is not kept; other columns are ignored; whole te
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, text_bytes, blocks
+from .common import blocks, mix64, saved, text_bytes
 from .graph import components
 from .shingles import shingle_sets
 
@@ -237,6 +238,77 @@ def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.mapInArrow(run, "node long, regs binary, text string").dropDuplicates(["node"])
 
 
+CHUNK = 768  #: documents of a bucket compared side by side
+
+
+def _joined(labels: np.ndarray, texts: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Index pairs of confirmed links between different labels, as few as join them."""
+    owner, gram = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    parts = [(at + o, g) for at, part in blocks(texts) for o, g in [shingle_sets(part)]]
+    if parts:
+        owner, gram = np.concatenate([o for o, _ in parts]), np.concatenate([g for _, g in parts])
+    m = len(texts)
+    size = np.bincount(owner, minlength=m)
+    _, at, count = np.unique(gram, return_inverse=True, return_counts=True)
+    both = np.cumsum(count > 1) - 1
+    keep = count[at] > 1
+    row, col = owner[keep], both[at[keep]]
+    inter = np.zeros((m, m), dtype=np.float32)
+    for low in range(0, int(col.max()) + 1 if len(col) else 0, 4096):
+        part = (col >= low) & (col < low + 4096)
+        a = np.zeros((m, 4096), dtype=np.float32)
+        a[row[part], col[part] - low] = 1
+        inter += a @ a.T
+    inter = inter.astype(np.int64)
+    i, j = np.nonzero((den * inter >= num * (size[:, None] + size[None] - inter)) & (labels[:, None] < labels[None]))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    _, first = np.unique(np.stack((labels[i], labels[j]), 1), axis=0, return_index=True) if len(i) else (None, [])
+    for k in first:
+        x, y = root(int(labels[i[k]])), root(int(labels[j[k]]))
+        if x != y:
+            parent[x] = y
+            out.append((int(i[k]), int(j[k])))
+    return out
+
+
+def _within(shared: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links between the components that meet in a bucket, over (band, node, label)."""
+    size = shared.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    x = shared.select("band", "node", "label").join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    x = x.withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    x = x.select("band", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), "node", "label")
+    x = x.join(texts.select("node", "text"), "node").select("band", "lo", "hi", "node", "label", "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def links(group: list[tuple]) -> pa.RecordBatch:
+            node = np.array([g[3] for g in group], dtype=np.int64)
+            pairs = _joined(np.array([g[4] for g in group], dtype=np.int64), [(g[5] or "").encode() for g in group], num, den)
+            return pa.RecordBatch.from_arrays([pa.array([int(node[i]) for i, _ in pairs], pa.int64()), pa.array([int(node[j]) for _, j in pairs], pa.int64())], names=["a", "b"])
+
+        group: list[tuple] = []
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                for r in zip(*(c.to_pylist() for c in b.slice(at, 1024).columns), strict=True):
+                    if group and r[:3] != group[0][:3]:
+                        yield links(group)
+                        group = []
+                    group.append(r)
+        if group:
+            yield links(group)
+
+    return x.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
 def _settle(shared: DataFrame, texts: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, slack: float) -> tuple[DataFrame, DataFrame]:
     """Adds the links that pairs with the first leaders missed; returns all links and the components."""
     size = sets.select("node", "n")
@@ -253,16 +325,12 @@ def _settle(shared: DataFrame, texts: DataFrame, sets: DataFrame, links: DataFra
         bound = undecided.join(size, "node").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
         open_ = saved(bound.filter(F.col("common") * den >= F.col("n") * num))  # others reach the threshold with nobody
         shared = saved(shared.join(open_, "node"))
-        if passes >= 2:
+        if passes >= 1:
             break
         center = shared.groupBy("band").agg(F.max(F.struct(F.col("common") / F.col("n"), "node")).alias("m")).select("band", F.col("m.node").alias("leader"))
         star = shared.join(center, "band").filter("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         links = saved(links.unionByName(_confirm(star, texts, num, den, slack)))
         shared = shared.select("band", "node")
         passes += 1
-    x, y = shared.alias("x"), shared.alias("y")
-    least = F.least("x.common", "y.common")
-    could: Column = least * den >= num * (F.col("x.n") + F.col("y.n") - least)
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & could).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = saved(links.unionByName(_confirm(rest, texts, num, den, slack)))
+    links = saved(links.unionByName(_within(shared, texts, num, den)))
     return links, components(links)
