@@ -100,18 +100,19 @@ def _mean(a: Column) -> Column:
 
 
 def pixel_std(gray: Column) -> Column:
-    """Population standard deviation."""
-    a = _flat(gray)
-    m = _mean(a)
-    return F.sqrt(_mean(F.transform(a, lambda x: (x - m) * (x - m))))
+    """Population standard deviation, in one pass over the pixels (their sums are exact)."""
+    flat = _flat(gray)
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    add = lambda t, x: F.struct((t["n"] + 1).alias("n"), (t["s"] + x).alias("s"), (t["q"] + x * x).alias("q"))
+    return F.aggregate(flat, zero, add, lambda t: F.sqrt(F.greatest(F.lit(0.0), t["q"] / t["n"] - (t["s"] / t["n"]) * (t["s"] / t["n"]))))
 
 
 def entropy(gray: Column, bins: int = 64) -> Column:
     """Bits of the histogram over [0, 255]."""
-    at = F.transform(_flat(gray), lambda v: F.least(F.floor(v * bins / 255.0), F.lit(bins - 1).cast("long")))
-    total = F.size(at)
-    counts = F.transform(F.array_distinct(at), lambda b: F.size(F.filter(at, lambda x: x == b)) / total)
-    return F.aggregate(counts, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+    cells = F.transform(_flat(gray), lambda v: F.least(F.floor(v * bins / 255.0), F.lit(bins - 1).cast("long")))
+    # bound to a name once, so that the cells are not computed again for each bin
+    held = F.transform(F.array(cells), lambda at: F.transform(F.array_distinct(at), lambda b: F.size(F.filter(at, lambda x: x == b)) / F.size(at)))
+    return F.aggregate(F.get(held, F.lit(0)), F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
 def is_low_info(gray: Column, threshold: float = 10.0) -> Column:

@@ -159,8 +159,9 @@ def test_log_likelihoods(spark):
     assert loglik.decide_ll(ll_frame(spark, view(key, -10.0))).first()["rank"] == A1  # strict margin
     assert loglik.decide_ll(ll_frame(spark, view(key, -9.0))).first()["rank"] == IDENT
     assert loglik.decide_ll(ll_frame(spark, view(key, -9.0)), margin=0.2).first()["rank"] == A1
-    banned = loglik.decide_ll(ll_frame(spark, view("[1, 2, 3, 4]")), ban_identity=True).first()["rank"]
+    banned = loglik.decide_ll(ll_frame(spark, view("[1, 2, 3, 4]", -900.0)), ban_identity=True).first()["rank"]
     assert banned == [1, 2, 4, 3]
+    assert loglik.decide_ll(ll_frame(spark, view("[1, 2, 3, 4]")), ban_identity=True).first()["rank"] == IDENT  # by the gate
     two = ll_frame(spark, view(key) + view(key, lead=-30.0)).first()
     assert two["scores"][6] == -2.0
     raw = spark.createDataFrame([("s", {"unorderable": (-3.0, 2), key: (-4.0, 4)})], "id string, lls map<string, struct<lp: double, n: int>>")
@@ -171,7 +172,7 @@ def test_log_likelihoods(spark):
 def test_fusion(spark):
     v = spark.createDataFrame([(i, "orderable", r) for i, rs in {"x": [A1, A1, A1], "y": [A1, A2], "z": [A2, A2]}.items() for r in rs], "id string, kind string, rank array<int>")
     v = votes.decide(votes.tally(v), disperse_gate=False)
-    ll = ll_frame(spark, view("[4, 3, 2, 1]", i="x") + view("[4, 3, 2, 1]", i="y"))
+    ll = ll_frame(spark, view("[4, 3, 2, 1]", -900.0, i="x") + view("[4, 3, 2, 1]", -900.0, i="y"))
     get = lambda policy, **kw: {r.id: r["rank"] for r in loglik.fuse(v, ll, policy, **kw).collect()}
     assert get("vote") == {"x": A1, "y": A1, "z": A2}
     assert get("ll") == {"x": A3, "y": A3}
