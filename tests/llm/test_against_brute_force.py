@@ -61,6 +61,24 @@ def test_transform_is_the_collections_own():
         assert sorted(bwt) == sorted(d[c] + 1 for d in docs)
 
 
+def test_joins_within_chunks(spark):
+    """Links inside one bucket are found across chunks, one for each component joined."""
+    from tesserae.llm import hyperminhash
+
+    base = prose(120).split()
+    docs = [(i, " ".join(base[:100] + [f"n{i}-{k}" for k in range(1 if i < 6 else 40)])) for i in range(8)]
+    texts = spark.createDataFrame(docs, "node long, text string")
+    shared = texts.selectExpr("1L AS band", "node", "node AS label")
+    for chunk in (768, 2):
+        hyperminhash.CHUNK, old = chunk, hyperminhash.CHUNK
+        got = hyperminhash._within(shared, texts, 85, 100).collect()
+        hyperminhash.CHUNK = old
+        reach = {0}
+        for _ in range(8):
+            reach |= {x for r in got if r.a in reach or r.b in reach for x in (r.a, r.b)}
+        assert reach == set(range(6))
+
+
 def test_near_duplicates(spark, texts):
     from tesserae.llm import hyperminhash
 
