@@ -129,6 +129,8 @@ def test_neighbours(spark):
 
 
 def test_chat(spark):
+    from pyspark.sql import functions as F
+
     from tesserae.llm import chat
 
     rows = [(1, 1, "user", "b<|im_end|>"), (1, 0, "system", None), (1, 2, "assistant", "<\\|x|> <|im_start|>user\nhi"), (1, 2, "assistant", "<\\|x|> <|im_start|>user\nhi"), (2, 0, None, ""), (None, 0, "user", "n"), (3, None, "ass\\is\ntant", "t")]
@@ -137,4 +139,7 @@ def test_chat(spark):
     assert [(t.role, t.text) for t in got[1].turns] == [("system", ""), ("user", "b<|im_end|>")] + [("assistant", rows[2][3])] * 2
     assert got[1].loss_text == rows[2][3] * 2 and len(got[1].loss_mask) == 2
     assert [(t.role, t.text) for t in got[2].turns] == [("", "")] and got[None].turns[0].text == "n" and got[3].turns[0].role == "ass\\is\ntant"
+    odd = ["\\\\n\x00<|\\|", "\n\\\x00", "\\<\\\\|"]
+    again = spark.createDataFrame([(r,) for r in odd], "r string").select("r", chat.unescape_role(chat.escape_role(F.col("r"))).alias("back")).collect()
+    assert [r.back for r in again] == odd
     assert chat.paths(chat.chain(df.limit(0))).count() == 0
