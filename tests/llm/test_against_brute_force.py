@@ -224,3 +224,17 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
         docs = kept
     tokens = c.STAGES[-1][1](spark, docs, sf)
     assert tokens.filter("round_trip").count() == docs.count()
+
+
+def test_license_families_of_unseen_paragraphs(spark):
+    """Wordings that training never saw keep their family; prose with a cue stem is unknown."""
+    from tesserae.llm import licenses
+
+    wanted = [(f, f"  The project says: {t.replace(',', ' ,')} Questions are welcome at any time.") for f, t in licenses.TEMPLATES]
+    prose = ["her fishing licence and the permission slip were in the drawer", "the warranty of the boat was waived by the seller", "copyright disputes fill the second chapter", "they talked of redistribution and the public domain"]
+    rows = [(i, "an ordinary first line\n" + t) for i, (_, t) in enumerate(wanted)] + [(1000 + i, t) for i, t in enumerate(prose)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and all(got[i].paragraph == 1 for i in range(len(wanted)))
+    right = [got[i].family == f for i, (f, _) in enumerate(wanted)]
+    assert sum(right) >= 0.9 * len(right), [(f, got[i].family) for i, (f, _) in enumerate(wanted)]
+    assert {got[1000 + i].family for i in range(len(prose))} == {licenses.UNKNOWN}
