@@ -27,8 +27,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    kept = hyperminhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    """Of each group of documents linked at a Jaccard index of 0.8 or more the one with the smallest id stays.
+
+    The threshold is the stage's own; op8_minhash keeps 0.85.  ``slack`` is again seven standard
+    deviations of the estimate at the threshold.
+    """
+    kept = hyperminhash.near_duplicates(docs, num=80, den=100, slack=0.25).filter("kept").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 

@@ -226,6 +226,39 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     assert tokens.filter("round_trip").count() == docs.count()
 
 
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    """Pairs from 0.72 to 0.95, a chain held together by links under 0.85, and the exact threshold."""
+    import corpus_pipeline as c
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    texts = []
+    for k in (5, 10, 16, 17, 18, 19, 20, 21, 22, 23, 25, 32):
+        base = [word() for _ in range(204)]
+        texts += [base, base[:-k] + [word() for _ in range(k)]]
+    base = [word() for _ in range(204)]  # each is 0.83 from the one before, the ends are further apart
+    for k in range(4):
+        texts.append([word() for _ in range(18 * k)] + base[18 * k :])
+    base = [word() for _ in range(184)]  # 180 shingles, 20 more on either side: 180 of 220
+    texts += [base + [word() for _ in range(20)], base + [word() for _ in range(20)]]
+    base = [word() for _ in range(84)]  # exactly 80 of 100
+    texts += [base, base + [word() for _ in range(20)]]
+    rows = [(i * 7 + 1, " ".join(w)) for i, w in enumerate(texts)]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    near = lambda a, b: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    root = {d: d for d in sets}
+    for _ in rows:
+        for a in sets:
+            for b in sets:
+                if near(a, b):
+                    root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in c.near_duplicates(spark, docs, "").collect()}
+    assert got == {d for d in sets if root[d] == d}
+    between = [d for d in sets if root[d] != d and all(100 * len(sets[d] & sets[o]) < 85 * len(sets[d] | sets[o]) for o in sets if o != d)]
+    assert len(between) >= 6
+
+
 def test_license_families_of_unseen_paragraphs(spark):
     """Wordings that training never saw keep their family; prose with a cue stem is unknown."""
     from tesserae.llm import licenses
