@@ -143,3 +143,33 @@ def test_chat(spark):
     again = spark.createDataFrame([(r,) for r in odd], "r string").select("r", chat.unescape_role(chat.escape_role(F.col("r"))).alias("back")).collect()
     assert [r.back for r in again] == odd
     assert chat.paths(chat.chain(df.limit(0))).count() == 0
+
+
+def test_anchors_of_a_text_over_four_mebibytes():
+    """Those of a long text are those of its overlapping pieces, past 4 MiB as before it, each once."""
+    import numpy as np
+
+    from tesserae.llm import anchors as a
+
+    text = np.random.default_rng(4).integers(97, 123, (1 << 22) + 300_000, dtype=np.uint8).tobytes()
+    want = {}
+    for at in range(0, len(text), 50_000):
+        _, pos, h = a.anchors([text[at : at + 50_199]], 200, 80)
+        want |= dict(zip((pos + at).tolist(), h.tolist(), strict=True))
+    doc, pos, h = a.anchors([b"short", text, text[:1000]], 200, 80)
+    assert pos[doc == 1].tolist() == sorted(want) and dict(zip(pos[doc == 1].tolist(), h[doc == 1].tolist(), strict=True)) == want
+    assert pos[doc == 2].tolist() == [p for p in sorted(want) if p < 921][: (doc == 2).sum()]
+
+
+def test_repeats_past_four_mebibytes(spark):
+    """Repeats in the tail of a long text go; text that occurs once stays, also at 4 MiB less."""
+    import numpy as np
+
+    from tesserae.llm import column_bwt
+
+    rng = np.random.default_rng(6)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    head, passage, tail = letters((1 << 22) + 5000), letters(600), letters(3000)
+    rows = [(1, head + passage + tail), (2, letters(2000) + passage + letters(2000))]
+    got = {r.doc_id: r.n_removed for r in column_bwt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 600, 2: 600}
