@@ -7,9 +7,10 @@ whose best calibrated probability stays under ``cut``, or whose best class is th
 are unknown.  A named family counts only if the paragraph shares at least ``overlap`` of the
 smaller side's 3-grams with one of the family's templates.
 
-Only paragraphs with a cue stem are scored: every template has one, and a paragraph without one
-is unknown by definition.  Defined results: null text counts as empty; a document without a cue
-has no row; repeated document rows give repeated rows; empty tables give an empty result; other
+Scored are the paragraphs with a 3-gram of a template, which alone can reach an overlap, and
+those with a cue stem, which get a row although they may be unknown.  Any other paragraph would
+be unknown whatever the classifier said.  Defined results: null text counts as empty; a document
+without such a paragraph has no row; repeated document rows give repeated rows; empty tables give an empty result; other
 columns are ignored; whole texts are read whatever their length.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +69,25 @@ def grams(w: str, n: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(F.col(w), i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
 
+def template_grams() -> list[str]:
+    out = set()
+    for _, text in TEMPLATES:
+        w = [x for x in re.split(r"[^a-z0-9]+", text.lower()) if x]
+        out |= {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}
+    return sorted(out)
+
+
+def _has_template_gram(text: Column) -> Column:
+    known = template_grams()
+    first = sorted({g.split()[0] for g in known})
+
+    def at(w: Column, i: Column) -> Column:
+        return F.get(w, i).isin(first) & F.concat_ws(" ", *[F.get(w, i + k) for k in range(3)]).isin(known)
+
+    # the array binds the words, so that they are split once
+    return F.exists(F.array(tokens(text)), lambda w: F.exists(F.sequence(F.lit(0), F.size(w)), lambda i: F.coalesce(at(w, i), F.lit(False))))
+
+
 def _features(df: DataFrame) -> DataFrame:
     return df.withColumn("w", tokens(F.col("text"))).withColumn("grams", F.array_distinct(F.concat(grams("w", 1), grams("w", 2), grams("w", 3))))
 
@@ -121,14 +142,13 @@ def train(spark: SparkSession) -> dict:
 
 
 def scan(docs: DataFrame, cut: float = 0.5, overlap: float = 0.5) -> DataFrame:
-    """(doc_id, paragraph, n_words, predicted, probability, overlap, family): one row per paragraph with a cue stem."""
+    """(doc_id, paragraph, n_words, predicted, probability, overlap, family): one row per paragraph with a 3-gram of a template or a cue stem."""
     spark = docs.sparkSession
     model = train(spark)
     names = model["families"]
-    low = F.lower("text")
     has_cue = lambda c: F.greatest(*[F.contains(c, F.lit(x)).cast("int") for x in CUES]) == 1
-    paras = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(has_cue(low))
-    paras = paras.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "text")).filter(has_cue(low))
+    paras = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    paras = paras.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "text")).filter(has_cue(F.lower("text")) | _has_template_gram(F.col("text")))
     paras = _features(paras).select("doc_id", "row_key", "paragraph", F.size("w").alias("n_words"), "grams", F.array_distinct(grams("w", 3)).alias("g3"))
     weights = F.broadcast(inline(spark, [{"gram": g, "wt": w} for g, w in model["weights"].items()], "gram string, wt array<double>"))  # a fixed table
     # copies of a row would add up; they are scored once and given back their number

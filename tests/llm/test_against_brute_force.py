@@ -271,3 +271,33 @@ def test_license_families_of_unseen_paragraphs(spark):
     right = [got[i].family == f for i, (f, _) in enumerate(wanted)]
     assert sum(right) >= 0.9 * len(right), [(f, got[i].family) for i, (f, _) in enumerate(wanted)]
     assert {got[1000 + i].family for i in range(len(prose))} == {licenses.UNKNOWN}
+
+
+def test_license_notices_without_a_cue(spark):
+    """Notices get a row and their family although they hold none of the cue stems."""
+    from tesserae.llm import licenses
+
+    cc, mit = "Distributed under CC BY 4.0.", "of charge, to any person obtaining a copy of this software"
+    sa, gpl = "Available under CC BY-SA 4.0", "Distributed under the GNU GPL, version 3"
+    rows = [(1, "first line\n" + cc), (2, sa), (3, gpl), (4, f"Permission is hereby granted, free\n{mit}\nand associated documentation files"), (5, "nothing of the kind stands here")]
+    assert not any(x in t.lower() for t in (cc, sa, gpl, mit) for x in licenses.CUES)
+    got = {(r.doc_id, r.paragraph): r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 0), (3, 0), (4, 0), (4, 1), (4, 2)}
+    assert (got[1, 1].family, got[2, 0].family, got[4, 1].family) == ("cc-by", "cc-by-sa", "mit")
+
+
+def test_license_gate_loses_no_overlap(spark):
+    """Every paragraph that shares a 3-gram with a template has a row, any other without a cue none."""
+    from tesserae.llm import licenses
+
+    rng = random.Random(11)
+    pool = [w for _, t in licenses.TEMPLATES for w in re.findall("[a-z0-9]+", t.lower()) if not any(x in w for x in licenses.CUES)]
+    texts = []
+    for _ in range(400):
+        at = rng.randrange(len(pool))
+        texts.append(" ".join(pool[at : at + rng.randint(1, 5)] + rng.sample(pool, rng.randint(0, 3))))
+    texts = [t for t in texts if not any(x in t for x in licenses.CUES)]
+    grams = lambda t: {tuple(w[i : i + 3]) for w in [re.findall("[a-z0-9]+", t.lower())] for i in range(len(w) - 2)}
+    known = set().union(*[grams(t) for _, t in licenses.TEMPLATES])
+    got = {r.doc_id for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i for i, t in enumerate(texts) if grams(t) & known} and 50 < len(got) < len(texts)
