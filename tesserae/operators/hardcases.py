@@ -63,18 +63,26 @@ def expand(records: DataFrame, oversample: int = 1, most: int = 5) -> DataFrame:
 
 def budget_plan(calls: DataFrame, max_cost_krw: float, krw_per_usd: float = 1400.0, run: str = "run") -> DataFrame:
     """(run, pos, usd, status) of calls (run, pos, tokens_in, tokens_out): taken in order of pos, a call that would
-    pass the budget is skipped and later, cheaper ones may still fit.  The fold is sequential per run by definition
-    (a plan of at most some 100,000 calls); runs are independent."""
+    pass the budget is skipped and later, cheaper ones may still fit.  The fold is sequential per run by definition;
+    it reads a run's calls in order and keeps only the sum.  Runs are independent."""
     usd = cost_usd(F.col("tokens_in"), F.col("tokens_out"))
-    rows = calls.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("pos", usd.alias("usd")))).alias("xs"))
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<boolean>").alias("took"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["spent"] + x["usd"]) * krw_per_usd <= max_cost_krw
-        return F.struct((s["spent"] + F.when(fits, x["usd"]).otherwise(0.0)).alias("spent"), F.concat(s["took"], F.array(fits)).alias("took"))
-
-    done = rows.select(run, F.arrays_zip("xs", F.aggregate("xs", start, step)["took"].alias("took")).alias("z"))
-    return done.select(run, F.inline("z")).select(run, "xs.pos", "xs.usd", F.when(F.col("took"), "called").otherwise("skipped_budget").alias("status"))
+    rows = calls.select(run, "pos", usd.alias("usd")).repartition(run).sortWithinPartitions(run, "pos", "usd")
+
+    def fold(batches):
+        import pyarrow as pa
+
+        now, spent = object(), 0.0
+        for b in batches:
+            status = []
+            for r, cost in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if r != now:
+                    now, spent = r, 0.0
+                fits = cost is not None and (spent + cost) * krw_per_usd <= max_cost_krw
+                spent += cost if fits else 0.0
+                status.append("called" if fits else "skipped_budget")
+            yield b.append_column("status", pa.array(status, pa.string()))
+
+    return rows.mapInArrow(fold, rows.withColumn("status", F.lit("")).schema)
 
 
 def sample_rows(df: DataFrame, n: int, order: Column, key: str = "id") -> DataFrame:

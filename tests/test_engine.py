@@ -287,3 +287,20 @@ def test_stream(spark, tmp_path):
     out = []
     decide_stream(read_votes(spark, str(tmp_path / "in")), str(tmp_path / "ck"), lambda df, n: out.extend(df.collect())).awaitTermination()
     assert [(r.id, r.n_votes, r["rank"]) for r in out] == [("a", 2, A1)]
+
+
+def test_budget_plan_covers_every_call(spark):
+    """All 20,000 calls of sf0.1, against the fold in plain Python."""
+    from tesserae.operators.hardcases import cost_usd
+    from tesserae.plans import catalogue, fixtures
+
+    sf = "/root/testdata/sf0.1"
+    c = fixtures.captions(spark, sf).select("id", cost_usd((F.length("caption") * (1 + F.col("id") % 3)).cast("long"), F.lit(900).cast("long")).alias("usd"))
+    want, spent = {}, [0.0] * 8
+    for r in sorted(c.collect()):
+        fits = (spent[r.id % 8] + r.usd) * 1400.0 <= 40.0
+        spent[r.id % 8] += r.usd if fits else 0.0
+        want[r.id] = (r.id % 8, round(r.usd, 9), "called" if fits else "skipped_budget")
+    got = {r.pos: (r.run, r.usd, r.status) for r in catalogue.QUERIES["budget_plan"](spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/part.parquet").count() > 2000
+    assert got == want and {x[2] for x in want.values()} == {"called", "skipped_budget"}
