@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -452,10 +453,11 @@ def pixel_cap(s, d):
 
 @query
 def phash_pairs(s, d):
-    g = image.phash(fx.gray(s, d)).select("id", "phash")
-    n = g.withColumn("mate", F.col("id") + 20)
-    x = n.join(g.select(F.col("id").alias("mate"), F.col("phash").alias("other")), "mate")
-    return x.select("id", "mate", long(A.hamming(F.col("phash"), F.col("other")), "distance"))
+    """Frames 4k to 4k + 3 are a sample; its six pairs, or those it has."""
+    g = image.phash(fx.frames(s, d)).groupBy(F.floor(F.col("id") / 4).alias("sample")).agg(*[F.max(F.when(F.pmod("id", F.lit(4)) == i, F.col("phash"))).alias(f"h{i}") for i in range(4)])
+    pairs = zip(itertools.combinations(range(4), 2), image.pair_distances([F.col(f"h{i}") for i in range(4)]), strict=True)
+    x = g.select("sample", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), long(dist, "distance")) for (i, j), dist in pairs])))
+    return x.filter("distance is not null").select(long(F.col("sample") * 4 + F.col("i"), "id"), long(F.col("sample") * 4 + F.col("j"), "mate"), "distance")
 
 
 @query

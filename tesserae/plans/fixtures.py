@@ -82,8 +82,13 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, gray): 24 x 32 synthetic frames, some dark, some with bands."""
-    p = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"))
+    """(id, gray): the frames of frames() that the SQL builds, one in twenty."""
+    return frames(spark, sf_dir).filter("id % 20 = 0")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, gray): a 24 x 32 synthetic frame for every part row, some dark, some with bands."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     def px(r, c):
         band = (r < F.col("id") % 9) | (r >= 24 - F.col("id") % 5)
         return F.when(band, 2).when(F.col("id") % 3 == 0, 30 + (r + c) % 4).otherwise((r * 37 + c * 11 + F.col("id") * 7) % 256).cast("int")

@@ -304,3 +304,23 @@ def test_budget_plan_covers_every_call(spark):
     got = {r.pos: (r.run, r.usd, r.status) for r in catalogue.QUERIES["budget_plan"](spark, sf).collect()}
     assert len(got) == spark.read.parquet(f"{sf}/part.parquet").count() > 2000
     assert got == want and {x[2] for x in want.values()} == {"called", "skipped_budget"}
+
+
+def test_phash_pairs_of_every_sample(spark):
+    """Every part row has a frame, every four frames six pairs."""
+    import numpy as np
+
+    from tesserae.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    ids = sorted(r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect())
+
+    def frame(n):
+        r, c = np.mgrid[:24, :32]
+        px = 30 + (r + c) % 4 if n % 3 == 0 else (r * 37 + c * 11 + n * 7) % 256
+        return np.where((r < n % 9) | (r >= 24 - n % 5), 2, px)
+
+    hashes = {n: image.phash_array(frame(n)) for n in ids}
+    want = {(a, b, bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1")) for a in ids for b in ids if a < b and a // 4 == b // 4}
+    got = [(r.id, r.mate, r.distance) for r in catalogue.QUERIES["phash_pairs"](spark, sf).collect()]
+    assert len(got) == len(want) == len(ids) // 4 * 6 and set(got) == want
