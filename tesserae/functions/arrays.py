@@ -82,6 +82,22 @@ def perm_nll(scores: Column, target: Column, smoothing: float = 0.05) -> Column:
     return (1 - smoothing) * -F.get(ls, target.cast("int")) + smoothing * average
 
 
+def softplus(x: Column) -> Column:
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def gate_loss(logit: Column, target: Column, pos_weight: float = 1.0) -> Column:
+    """Binary cross-entropy of a logit, positives weighted."""
+    return F.when(target, pos_weight * softplus(-logit)).otherwise(softplus(logit))
+
+
+def frame_loss(logits: Column, rank: Column) -> Column:
+    """Mean cross-entropy of each frame's position."""
+    rows = F.transform(logits, log_softmax)
+    cells = [-F.get(F.get(rows, F.lit(i)), F.get(rank, F.lit(i)) - 1) for i in range(N)]
+    return mean(cells)
+
+
 def best_index(scores: Column, ban_identity: bool) -> Column:
     """First index of the greatest score; index 0, the identity, can be banned."""
     s = F.transform(scores, lambda x, i: F.when(i == 0, float("-inf")).otherwise(x)) if ban_identity else scores

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import best_index
+from ..functions.arrays import best_index, frame_loss, gate_loss, perm_nll
 from ..functions.perm import rank_at
 
 TAUS = [round(0.02 * i, 2) for i in range(51)] + [1.1]
@@ -46,6 +46,17 @@ def permutation_accuracy(rows: DataFrame) -> DataFrame:
     return rows.filter("target <> 0").agg(F.avg(hit).alias("perm_acc"))
 
 
+def multi_task_loss(rows: DataFrame, pos_weight: float = 1.0, gate_w: float = 1.0, aux_w: float = 0.5, smoothing: float = 0.05) -> DataFrame:
+    """(loss) over rows (logits, scores, gate_logit, rank, target, no_ordering, weight): the weighted gate loss of all rows
+    plus, over the orderable ones, the smoothed loss of the 24 ranks and aux_w times that of the frames."""
+    w, orderable = F.col("weight"), ~F.col("no_ordering")
+    gate = F.avg(gate_loss(F.col("gate_logit"), F.col("no_ordering"), pos_weight) * w)
+    perm = F.avg(F.when(orderable, perm_nll(F.col("scores"), F.col("target"), smoothing) * w))
+    frame = F.avg(F.when(orderable, frame_loss(F.col("logits"), F.col("rank")) * w))
+    none = F.lit(0.0)
+    return rows.agg((gate * gate_w + F.coalesce(perm, none) + aux_w * F.coalesce(frame, none)).alias("loss"))
+
+
 def noise_policy(rows: DataFrame, policy: str) -> DataFrame:
     """a drops flagged rows, b gives them half weight, c keeps them."""
     if policy == "a":

@@ -18,9 +18,9 @@ def _dct(n: int) -> np.ndarray:
     return np.cos(np.pi * k[:, None] * (2 * k[None] + 1) / (2 * n))
 
 
-def _resize(gray: np.ndarray, size: int) -> np.ndarray:
-    """Area means over a size x size grid."""
-    for axis in (0, 1):
+def area_means(gray: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means over a height x width grid of areas; edges inside a pixel take their share of it."""
+    for axis, size in ((0, height), (1, width)):
         n = gray.shape[axis]
         edge = np.linspace(0, n, size + 1)
         total = np.concatenate((np.zeros_like(np.take(gray, [0], axis)), np.cumsum(gray, axis)), axis)
@@ -34,7 +34,7 @@ def _resize(gray: np.ndarray, size: int) -> np.ndarray:
 def phash_array(gray: np.ndarray) -> int:
     """64-bit perceptual hash: signs of the low 8 x 8 cosine terms of a 32 x 32 reduction against their median."""
     m = _dct(32)
-    low = (m @ _resize(gray.astype(float), 32) @ m.T)[:8, :8]
+    low = (m @ area_means(gray.astype(float), 32, 32) @ m.T)[:8, :8]
     bits = (low > np.median(low)).ravel()
     value = int("".join("1" if b else "0" for b in bits), 2)
     return value - (1 << 64) if value >= 1 << 63 else value
@@ -48,7 +48,7 @@ def phash(frames: DataFrame, column: str = "gray", out: str = "phash") -> DataFr
         import pyarrow as pa
 
         for b in batches:
-            values = [None if g is None else phash_array(np.array(g)) for g in b.column(column).to_pylist()]
+            values = [None if g.as_py() is None else phash_array(np.array(g.as_py())) for g in b.column(column)]
             yield b.append_column(out, pa.array(values, pa.int64()))
 
     return frames.mapInArrow(run, schema)

@@ -89,34 +89,51 @@ def sweep_margins(ll: DataFrame, truth: DataFrame, margins: list[float], ban_ide
     return row.select(F.inline(pairs))
 
 
+def best_margin(curve: DataFrame) -> DataFrame:
+    """(margin, em): the first margin of the greatest EM of a sweep."""
+    top = curve.agg(F.max(F.struct("em", (-F.col("margin")).alias("low"))).alias("b"))
+    return top.select((-F.col("b.low")).alias("margin"), F.col("b.em").alias("em"))
+
+
 def sweep_policies(votes: DataFrame, ll: DataFrame, truth: DataFrame, margins: list[float], ks: list[int] = [2, 3, 4]) -> DataFrame:  # noqa: B006
-    """(policy, k, ban_identity, margin, em): the first best margin of each configuration, best first."""
+    """(policy, k, ban_identity, margin, em): the first best margin of each configuration, best first.
+
+    Of a sample a configuration needs three things: how many margins its lead passes, and whether
+    it hits on either side of the margin.  Their counts per configuration and number of margins
+    passed are one aggregation of fixed size; a margin's EM is a running sum over it.
+    """
+    grid = sorted(margins)
     x = votes.join(ll, "id").join(truth, "id")
     voted = F.transform("counts", lambda c: c > 0)
-    cols = [consensus(F.col("counts")).alias("consensus"), (F.col("rank") == F.col("truth")).cast("int").alias("vote_hit"), (F.col("truth") == identity()).cast("int").alias("id_hit"), "truth", "unord"]
-    sides = {}
+    x = x.withColumn("agreed", consensus(F.col("counts"))).withColumn("vote_hit", (F.col("rank") == F.col("truth")).cast("int"))
+    x = x.withColumn("id_hit", (F.col("truth") == identity()).cast("int"))
+    table = F.array(*[F.lit(m) for m in grid])
+    passed = lambda lead: F.size(F.filter(table, lambda m: F.col(lead) > m))
+    cells, keep = [], ["agreed", "vote_hit", "id_hit"]
     for ban in (False, True):
-        for name, allowed in (("all", None), ("voted", voted)):
+        for side, allowed in (("all", None), ("voted", voted)):
             at, score = best_key(F.col("scores"), ban, allowed)
-            sides[ban, name] = f"{name}_{ban}"
-            cols += [at.alias(f"at_{name}_{ban}"), score.alias(f"best_{name}_{ban}")]
-    x = x.select(*cols)
-    flat = [c for c in x.columns if not c.startswith("at_") and c != "truth"]
-    x = x.select(*flat, *[(_rank(F.col(f"at_{s}")) == F.col("truth")).cast("int").alias(f"hit_{s}") for s in sides.values()])
-    aggs, configs = [F.avg("vote_hit").alias("e0")], [("vote", None, None, None)]
-    for ban in (False, True):
+            x = x.withColumn(f"at_{side}_{ban}", at).withColumn(f"lead_{side}_{ban}", F.col("unord") - score)
+            hit = (_rank(F.col(f"at_{side}_{ban}")) == F.col("truth")).cast("int")
+            keep += [hit.alias(f"hit_{side}_{ban}"), passed(f"lead_{side}_{ban}").alias(f"passed_{side}_{ban}")]
         for policy, k in [("ll", None), *[(p, k) for p in ("h1", "h2") for k in ks]]:
-            s = sides[ban, "voted" if policy == "h2" else "all"]
-            for m in margins:
-                hit = F.when(F.col("unord") - F.col(f"best_{s}") > m, F.col("id_hit")).otherwise(F.col(f"hit_{s}"))
-                hit = hit if k is None else F.when(F.col("consensus") >= k, F.col("vote_hit")).otherwise(hit)
-                aggs.append(F.avg(hit).alias(f"e{len(configs)}"))
-                configs.append((policy, k, ban, m))
-    row = x.agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(k).cast("int").alias("k"), F.lit(b).cast("boolean").alias("ban_identity"), F.lit(m).cast("double").alias("margin"), F.col(f"e{i}").alias("em")) for i, (p, k, b, m) in enumerate(configs)])
-    table = row.select(F.inline(cells))
-    first = table.groupBy("policy", "k", "ban_identity").agg(F.max(F.struct("em", (-F.col("margin")).alias("low"))).alias("b"))
-    return first.select("policy", "k", "ban_identity", (-F.col("b.low")).alias("margin"), F.col("b.em").alias("em")).orderBy(F.desc("em"), "policy", "k", "ban_identity")
+            side = f"voted_{ban}" if policy == "h2" else f"all_{ban}"
+            by_vote = F.col("agreed") >= k if k else F.lit(False)
+            pick = lambda c, v=by_vote: F.when(v, F.col("vote_hit")).otherwise(F.col(c))
+            cells.append(F.struct(F.lit(policy).alias("policy"), F.lit(k).cast("int").alias("k"), F.lit(ban).alias("ban_identity"), F.col(f"passed_{side}").alias("passed"), pick(f"hit_{side}").alias("under"), pick("id_hit").alias("over")))
+    x = x.select(*keep)
+    config = ["policy", "k", "ban_identity"]
+    counts = x.select(F.inline(F.array(*cells))).groupBy(*config, "passed").agg(F.count(F.lit(1)).alias("n"), F.sum("under").alias("under"), F.sum("over").alias("over"))
+    per = counts.groupBy(*config).agg(F.collect_list(F.struct("passed", "n", "under", "over")).alias("cs"))  # a row for each number of margins at most
+    total = lambda take: F.aggregate("cs", F.lit(0).cast("long"), lambda s, c: s + take(c))
+    hits = [total(lambda c, j=j: F.when(c["passed"] > j, c["over"]).otherwise(c["under"])) for j in range(len(grid))]
+    ems = F.array(*[F.struct(F.lit(m).alias("margin"), (h / total(lambda c: c["n"])).alias("em")) for m, h in zip(grid, hits, strict=True)])
+    curve = per.select(*config, F.inline(ems))
+    first = curve.groupBy(*config).agg(F.max(F.struct("em", (-F.col("margin")).alias("low"))).alias("b"))
+    first = first.select(*config, (-F.col("b.low")).alias("margin"), F.col("b.em").alias("em"))
+    none = lambda kind: F.lit(None).cast(kind)
+    plain = x.agg(F.avg("vote_hit").alias("em")).select(F.lit("vote").alias("policy"), none("int").alias("k"), none("boolean").alias("ban_identity"), none("double").alias("margin"), "em")
+    return plain.unionByName(first).orderBy(F.desc("em"), *config)
 
 
 def candidates(samples: DataFrame, views: DataFrame, perm_dim: DataFrame, style: str = "short") -> DataFrame:

@@ -92,8 +92,8 @@ def rewrite_prompts(s, d):
 
 @query
 def candidate_texts(s, d):
-    samples = tables.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-    views = P.perm_dim(s).filter("idx in (0, 7, 14)").select(F.col("idx").alias("view"), F.transform("rank", lambda x: x - 1).alias("perm"))
+    samples = fx.truth(s, d).select("id")
+    views = P.perm_dim(s).filter("idx in (0, 7, 14, 21)").select(F.col("idx").alias("view"), F.transform("rank", lambda x: x - 1).alias("perm"))
     return loglik.candidates(samples, views, P.perm_dim(s))
 
 
@@ -204,10 +204,15 @@ QUERIES["fuse_h2"] = _fuse("h2", k=2)
 QUERIES["fuse_ll_ban"] = _fuse("ll", ban_identity=True)
 
 
+@query
+def ll_best_margin(s, d):
+    t = fx.truth(s, d)
+    return loglik.best_margin(loglik.sweep_margins(_ll(s, d), t, loglik.margin_grid())).select(F.round("margin", 6).alias("margin"), F.round("em", 6).alias("em"))
+
+
 @query
 def fuse_sweep(s, d):
-    margins = [-0.5, -0.4, -0.2, 0.0, 0.3]
-    out = loglik.sweep_policies(_decided(s, d), _ll(s, d), fx.truth(s, d), margins)
+    out = loglik.sweep_policies(_decided(s, d), _ll(s, d), fx.truth(s, d), loglik.margin_grid())
     return out.select("policy", long("k"), "ban_identity", F.round("margin", 6).alias("margin"), F.round("em", 6).alias("em"))
 
 
@@ -312,36 +317,48 @@ def sample_subset(s, d):
 
 @query
 def tfidf_pairs(s, d):
-    docs = fx.heads(s, d)
-    v = similarity.vectors(docs, similarity.vocabulary(docs))
-    return similarity.similar_pairs(v, None, 0.8).select("a", "b", F.round("sim", 6).alias("sim"))
+    """Pairs of class representatives; tfidf_classes says whom they stand for."""
+    docs = fx.texts(s, d)
+    return similarity.class_pairs(docs, tables.saved(similarity.classes(docs)), 0.8).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query
+def tfidf_classes(s, d):
+    return similarity.classes(fx.texts(s, d))
+
+
+@query
+def knn_captions(s, d):
+    """The ten nearest captions of every twentieth one, among all."""
+    docs = fx.texts(s, d)
+    return similarity.nearest(docs.filter("id % 20 = 0"), docs, 10).select("id", long("rank"), "mate", "sim")
 
 
 @query
 def caption_groups(s, d):
-    return similarity.caption_groups(fx.heads(s, d))
+    return similarity.caption_groups(fx.texts(s, d))
 
 
 @query
 def group_split(s, d):
-    return similarity.group_split(similarity.caption_groups(fx.heads(s, d)))
+    return similarity.group_split(similarity.caption_groups(fx.texts(s, d)))
 
 
 @query
 def fold_rates(s, d):
-    x = similarity.group_split(similarity.caption_groups(fx.heads(s, d)))
+    x = similarity.group_split(similarity.caption_groups(fx.texts(s, d)))
     return x.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("grp").alias("groups"), F.round(F.avg((F.col("id") % 13 < 2).cast("double")), 6).alias("no_ordering_rate"))
 
 
 @query
 def leak_check(s, d):
-    x = similarity.group_split(similarity.caption_groups(fx.heads(s, d)))
+    x = similarity.group_split(similarity.caption_groups(fx.texts(s, d)))
     return similarity.leaks(x).agg(F.count(F.lit(1)).alias("n_leaks"))
 
 
 @query
 def nearest_train_similarity(s, d):
-    h = fx.heads(s, d)
+    h = fx.texts(s, d)
     return similarity.nearest_similarity(h.filter("id % 10 = 0"), h.filter("id % 10 <> 0")).select("id", F.round("sim", 6).alias("sim"))
 
 
@@ -434,14 +451,14 @@ def semantic_features(s, d):
 
 @query
 def gray_stats(s, d):
-    g = image.frame_features(fx.gray(s, d))
+    g = image.frame_features(fx.frames(s, d))
     return g.select("id", F.round("std", 6).alias("std"), F.round("entropy", 6).alias("entropy"), "low_info", long("width"), long("height"))
 
 
 @query
 def letterbox(s, d):
     top, bottom = A.letterbox(F.col("gray"))
-    return fx.gray(s, d).select("id", long(top, "top"), long(bottom, "bottom"), long(F.size(A.crop(F.col("gray"), top, bottom)), "rows_left"))
+    return fx.frames(s, d).select("id", long(top, "top"), long(bottom, "bottom"), long(F.size(A.crop(F.col("gray"), top, bottom)), "rows_left"))
 
 
 @query
@@ -495,7 +512,7 @@ def describe_hard_score(s, d):
 
 @query
 def noise_policy(s, d):
-    g = image.frame_features(fx.gray(s, d)).select("id", F.col("low_info").alias("noise_flag"))
+    g = image.frame_features(fx.frames(s, d)).select("id", F.col("low_info").alias("noise_flag"))
     parts = [calibrate.noise_policy(g, p).agg(F.lit(p).alias("policy"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")) for p in "abc"]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

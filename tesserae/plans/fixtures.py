@@ -61,17 +61,17 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("events", X.split_events(F.col("caption"))).withColumn("rank", P.rank_at(F.expr(TRUTH_AT))).withColumn("no_ordering", F.col("id") % 13 < 2)
 
 
-def heads(spark: SparkSession, sf_dir: str, words: int = 24) -> DataFrame:
-    """(id, text): the first words of each document, as captions with near copies."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", r"[ \n]+"), 1, words), " ").alias("text"))
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): every document's whole text, as a caption with near copies."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, e0..e7, label): eight unit vectors a sample (frames, events, caption)."""
+def embeddings(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:
+    """(id, e0..e7): eight vectors a sample (frames, events, caption); a slot without a vector is zero."""
     e = table(spark, sf_dir, "embeddings").selectExpr("vec_id div 8 AS id", "vec_id % 8 AS slot", "embedding")
-    g = e.groupBy("id").agg(*[F.max(F.when(F.col("slot") == i, F.struct("embedding"))).alias(f"s{i}") for i in range(8)], F.count(F.lit(1)).alias("n"))
-    return g.filter("n = 8").select("id", *[F.col(f"s{i}.embedding").cast("array<double>").alias(f"e{i}") for i in range(8)])
+    g = e.groupBy("id").agg(*[F.max(F.when(F.col("slot") == i, F.struct("embedding"))).alias(f"s{i}") for i in range(8)])
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return g.select("id", *[F.coalesce(F.col(f"s{i}.embedding").cast("array<double>"), zero).alias(f"e{i}") for i in range(8)])
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +81,6 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", rows.alias("logits"), (1 / (1 + F.exp(-F.element_at("v", 17)))).alias("gate"), F.expr(TRUTH_AT).cast("int").alias("target"))
 
 
-def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, gray): the frames of frames() that the SQL builds, one in twenty."""
-    return frames(spark, sf_dir).filter("id % 20 = 0")
-
-
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, gray): a 24 x 32 synthetic frame for every part row, some dark, some with bands."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
