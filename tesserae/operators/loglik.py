@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.perm import PERMS, identity, ints
+from ..sources.tables import saved
 from .votes import consensus
 
 UNORDERABLE = "unorderable"
@@ -107,23 +108,24 @@ def sweep_policies(votes: DataFrame, ll: DataFrame, truth: DataFrame, margins: l
     voted = F.transform("counts", lambda c: c > 0)
     x = x.withColumn("agreed", consensus(F.col("counts"))).withColumn("vote_hit", (F.col("rank") == F.col("truth")).cast("int"))
     x = x.withColumn("id_hit", (F.col("truth") == identity()).cast("int"))
-    table = F.array(*[F.lit(m) for m in grid])
-    passed = lambda lead: F.size(F.filter(table, lambda m: F.col(lead) > m))
-    cells, keep = [], ["agreed", "vote_hit", "id_hit"]
+    # a plain sum, so that the lead is computed once and not for each margin
+    passed = lambda lead: sum((F.coalesce(F.col(lead) > m, F.lit(False)).cast("int") for m in grid), F.lit(0))
+    sides = {}
     for ban in (False, True):
         for side, allowed in (("all", None), ("voted", voted)):
             at, score = best_key(F.col("scores"), ban, allowed)
-            x = x.withColumn(f"at_{side}_{ban}", at).withColumn(f"lead_{side}_{ban}", F.col("unord") - score)
-            hit = (_rank(F.col(f"at_{side}_{ban}")) == F.col("truth")).cast("int")
-            keep += [hit.alias(f"hit_{side}_{ban}"), passed(f"lead_{side}_{ban}").alias(f"passed_{side}_{ban}")]
+            sides[f"{side}_{ban}"] = F.struct((_rank(at) == F.col("truth")).cast("int").alias("hit"), (F.col("unord") - score).alias("lead"))
+    x = saved(x.select("agreed", "vote_hit", "id_hit", *[c.alias(n) for n, c in sides.items()]))  # a short row a sample
+    cells = []
+    for ban in (False, True):
         for policy, k in [("ll", None), *[(p, k) for p in ("h1", "h2") for k in ks]]:
             side = f"voted_{ban}" if policy == "h2" else f"all_{ban}"
             by_vote = F.col("agreed") >= k if k else F.lit(False)
             pick = lambda c, v=by_vote: F.when(v, F.col("vote_hit")).otherwise(F.col(c))
-            cells.append(F.struct(F.lit(policy).alias("policy"), F.lit(k).cast("int").alias("k"), F.lit(ban).alias("ban_identity"), F.col(f"passed_{side}").alias("passed"), pick(f"hit_{side}").alias("under"), pick("id_hit").alias("over")))
-    x = x.select(*keep)
+            cells.append(F.struct(F.lit(policy).alias("policy"), F.lit(k).cast("int").alias("k"), F.lit(ban).alias("ban_identity"), F.col(f"passed_{side}").alias("passed"), pick(f"{side}.hit").alias("under"), pick("id_hit").alias("over")))
+    counted = x.select("*", *[passed(f"{n}.lead").alias(f"passed_{n}") for n in sides])
     config = ["policy", "k", "ban_identity"]
-    counts = x.select(F.inline(F.array(*cells))).groupBy(*config, "passed").agg(F.count(F.lit(1)).alias("n"), F.sum("under").alias("under"), F.sum("over").alias("over"))
+    counts = counted.select(F.inline(F.array(*cells))).groupBy(*config, "passed").agg(F.count(F.lit(1)).alias("n"), F.sum("under").alias("under"), F.sum("over").alias("over"))
     per = counts.groupBy(*config).agg(F.collect_list(F.struct("passed", "n", "under", "over")).alias("cs"))  # a row for each number of margins at most
     total = lambda take: F.aggregate("cs", F.lit(0).cast("long"), lambda s, c: s + take(c))
     hits = [total(lambda c, j=j: F.when(c["passed"] > j, c["over"]).otherwise(c["under"])) for j in range(len(grid))]

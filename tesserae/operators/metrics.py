@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.perm import identity, is_valid, kendall_tau
 
 
-def scored(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """truth (id, truth, no_ordering) with rank, em and tau; raises where a prediction is missing or no permutation."""
-    x = truth.join(pred.select("id", "rank"), "id", "left")
+def scored(pred: DataFrame, truth: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """truth (id, truth, no_ordering) with rank, em, tau and the columns of pred to keep; raises where a prediction is missing or no permutation."""
+    x = truth.join(pred.select("id", "rank", *keep), "id", "left")
     ok = F.when(is_valid(F.col("rank")), F.col("rank")).otherwise(F.raise_error(F.concat(F.lit("missing or invalid prediction: "), F.col("id").cast("string"))).cast("array<int>"))
     x = x.withColumn("rank", ok)
     return x.withColumn("em", (F.col("rank") == F.col("truth")).cast("int")).withColumn("tau", kendall_tau(F.col("rank"), F.col("truth")))

@@ -92,6 +92,6 @@ def share(df: DataFrame, column: str, digits: int = 4, levels: list | None = Non
     counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = counted.agg(F.sum("n").alias("total"))  # one row
     if levels is not None:
-        named = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in levels])).cast(df.schema[column].dataType).alias(column))
+        named = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x).cast(df.schema[column].dataType) for x in levels])).alias(column))
         counted = F.broadcast(named).join(counted, column, "left").select(column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     return counted.crossJoin(F.broadcast(total)).select(column, "n", F.round(F.col("n") / F.col("total"), digits).alias("share")).orderBy(column)

@@ -38,8 +38,7 @@ def _decided(s: SparkSession, d: str, **kw) -> DataFrame:
 
 
 def _scored(s: SparkSession, d: str, **kw) -> DataFrame:
-    dec = _decided(s, d, **kw)
-    return metrics.scored(dec, fx.truth(s, d)).join(dec.select("id", "consensus", "reason"), "id")
+    return metrics.scored(_decided(s, d, **kw), fx.truth(s, d), ["consensus", "reason"])
 
 
 def _ll(s: SparkSession, d: str, norm: bool = True) -> DataFrame:
@@ -517,9 +516,15 @@ def noise_policy(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def quality_rows(s, d):
+    """(id, n_chars, n_words, n_lines, label) of the labelled documents."""
+    n = lambda pattern: F.size(F.split("text", pattern)).cast("double")
+    docs = tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("double").alias("n_chars"), n(r"\s+").alias("n_words"), n(r"\n").alias("n_lines"))
+    lab = tables.table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return docs.join(lab, "id")
+
+
 @query
 def stratified_cv_auc(s, d):
-    docs = tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("double").alias("n_chars"), F.size(F.split("text", r"\s+")).cast("double").alias("n_words"), F.size(F.split("text", r"\n")).cast("double").alias("n_lines"))
-    lab = tables.table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    out = classify.cross_validate(docs.join(lab, "id"), ["n_chars", "n_words", "n_lines"])
+    out = classify.cross_validate(quality_rows(s, d), ["n_chars", "n_words", "n_lines"])
     return out.select(long("fold"), F.round("auc", 6).alias("auc"), F.round("f1", 6).alias("f1"))

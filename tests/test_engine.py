@@ -101,12 +101,12 @@ A1, A2, A3 = [2, 1, 3, 4], [2, 1, 4, 3], [4, 3, 2, 1]
 
 @pytest.mark.parametrize(("cast", "kw", "reason", "rank"), [
     ([None, None], {}, "parse_fail", IDENT), (["u", "u", A1], {}, "unorderable_majority", IDENT), (["u", A1, A1], {}, "mode", A1), (["u", A1], {"disperse_gate": False}, "mode", A1),
-    ([A1, A2, A3], {}, "disperse_gate", IDENT), ([A1, A1, A2, A2, A3], {}, "borda_tie", A1), ([IDENT, IDENT, A1], {"ban_identity": True, "disperse_gate": False}, "mode", A1),
+    ([A1, A2, A3], {}, "disperse_gate", IDENT), ([A1, A1, A2, A2, A3], {}, "borda_tie", A2), ([IDENT, IDENT, A1], {"ban_identity": True, "disperse_gate": False}, "mode", A1),
     ([IDENT, IDENT], {"ban_identity": True}, "all_identity_votes", IDENT), ([IDENT, IDENT, A1, A1, A1], {"identity_quota": 2}, "identity_quota", IDENT), ([A1, A1, A3, A3], {}, "borda_tie", A1),
 ])
 def test_decision(spark, cast, kw, reason, rank):
     got = decide(spark, cast, **kw)
-    assert got.reason == reason and (reason == "borda_tie" or got["rank"] == rank)
+    assert got.reason == reason and got["rank"] == rank
 
 
 def test_votes_end_to_end_ignore_order(spark):
@@ -177,12 +177,18 @@ def test_fusion(spark):
     assert get("vote") == {"x": A1, "y": A1, "z": A2}
     assert get("ll") == {"x": A3, "y": A3}
     assert get("h1") == {"x": A1, "y": A3, "z": A2}
-    assert get("h2")["y"] in (A1, A2)
+    assert get("h2") == {"x": A1, "y": A1, "z": A2}  # y voted for A1 and A2, whose scores tie: the smaller rank
     with pytest.raises(ValueError, match="policy"):
         get("both")
     truth = spark.createDataFrame([("x", A1), ("y", A3)], "id string, truth array<int>")
     table = loglik.sweep_policies(v, ll, truth, [-100.0, 0.0, 1.0]).collect()
-    assert len(table) == 15 and table[0].em == 1.0 and (table[0].policy, table[0].k, table[0].margin) == ("h1", 2, 0.0) or table[0].policy == "h1"
+    assert len(table) == 15 and [r.em for r in table] == sorted((r.em for r in table), reverse=True)
+    by = {(r.policy, r.k, r.ban_identity): (r.margin, r.em) for r in table}
+    assert by["vote", None, None] == (None, 0.5) and by["h1", 2, False] == by["h1", 3, False] == (0.0, 1.0) and by["h2", 2, False] == (-100.0, 0.5)
+    for (policy, k, ban), (margin, em) in by.items():
+        if policy != "vote":
+            one_by_one = [(m, metrics.evaluate(metrics.scored(loglik.fuse(v, ll, policy, k=k or 3, margin=m, ban_identity=ban).filter("id <> 'z'"), truth.withColumn("no_ordering", F.lit(False)))).first().em) for m in (-100.0, 0.0, 1.0)]
+            assert (margin, em) == max(one_by_one, key=lambda x: (x[1], -x[0])), (policy, k, ban)
 
 
 def test_hard_cases(spark):
@@ -268,8 +274,15 @@ def test_tables(spark, tmp_path):
     test = spark.createDataFrame([(0, "b"), (1, "a")], "pos int, id string")
     pred = spark.createDataFrame([("a", A1), ("b", IDENT)], "id string, rank array<int>")
     sub = tables.submission(test, pred)
-    tables.write_submission(sub, str(tmp_path / "sub"))
-    assert [r.Id for r in tables.load_predictions(spark, str(tmp_path / "sub")).withColumnRenamed("id", "Id").collect()] == ["b", "a"]
+    with pytest.warns(UserWarning, match="share of identities"):
+        found = tables.write_submission(test, pred, str(tmp_path / "sub"))
+    assert found["n"] == 2 and found["n_misplaced"] == 0
+    assert [r.Id for r in tables.read_csv(spark, str(tmp_path / "sub"), tables.PREDICTION).collect()] == ["b", "a"]
+    assert {r.id: r["rank"] for r in tables.load_predictions(spark, str(tmp_path / "sub")).collect()} == {"a": A1, "b": IDENT}
+    (tmp_path / "p.csv").write_text('Id,Answer\na,"[1, 2, 3, 4]"\nb,nothing\na,"[2, 1, 3, 4]"\n')
+    assert {r.id: r["rank"] for r in tables.load_predictions(spark, str(tmp_path / "p.csv"), strict=False).collect()} == {"a": A1, "b": None}
+    with pytest.raises(Exception, match="not a permutation"):
+        tables.load_predictions(spark, str(tmp_path / "p.csv")).collect()
     rep = tables.submission_report(test, sub).first()
     assert (rep.n, rep.n_missing, rep.n_invalid, rep.n_misplaced, rep.share_ok) == (2, 0, 0, 0, False)
     with pytest.raises(Exception, match="missing or invalid"):
@@ -324,3 +337,202 @@ def test_phash_pairs_of_every_sample(spark):
     want = {(a, b, bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1")) for a in ids for b in ids if a < b and a // 4 == b // 4}
     got = [(r.id, r.mate, r.distance) for r in catalogue.QUERIES["phash_pairs"](spark, sf).collect()]
     assert len(got) == len(want) == len(ids) // 4 * 6 and set(got) == want
+
+
+def test_predictions_and_metrics_sinks(spark, tmp_path):
+    pred = spark.createDataFrame([("a", A1), ("b", IDENT)], "id string, rank array<int>")
+    tables.write_predictions(pred, str(tmp_path / "p"))
+    assert {r.id: r["rank"] for r in tables.load_predictions(spark, str(tmp_path / "p")).collect()} == {"a": A1, "b": IDENT}
+    tables.write_metrics(spark.createDataFrame([(3, 0.5)], "n int, em double"), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).first().asDict() == {"n": 3, "em": 0.5}
+
+
+def test_stored_log_likelihoods(spark, tmp_path):
+    (tmp_path / "ll.jsonl").write_text('{"Id": "s", "perm": [0, 1, 2, 3], "ll": {"[2, 1, 3, 4]": [-10.0, 10], "unorderable": [-60.0, 10]}}\n\nbroken\n')
+    got = loglik.aggregate_ll(tables.load_ll(spark, str(tmp_path / "ll.jsonl")).filter("id is not null")).first()
+    assert got["scores"][6] == -1.0 and got["unord"] == -6.0
+    assert tables.read_jsonl(spark, str(tmp_path / "ll.jsonl"), tables.LL, skip_bad=True).count() == 1
+    assert tables.read_jsonl(spark, str(tmp_path / "ll.jsonl"), tables.LL).count() == 2
+
+
+def test_read_by_extension(spark, tmp_path):
+    (tmp_path / "a.JSONL").write_text('{"Id": "x", "Answer": "y"}\n')
+    (tmp_path / "a.csv").write_text('Id,Answer\nx,y\n')
+    for name in ("a.JSONL", "a.csv"):
+        assert tables.read_table(spark, str(tmp_path / name), tables.PREDICTION).collect() == [("x", "y")]
+
+
+def test_config(tmp_path, monkeypatch):
+    (tmp_path / "c.yaml").write_text("# top\nroot: /data  # here\ntrain: 'a b.csv'\nhead:\n  layers: 2\n  rate: 1e-3\n  use: true\n  inner:\n    names: [x, 'y']\ntau: null\nfolds:\n  - 1\n  - 2\nlast: z\n")
+    got = tables.load_config(str(tmp_path / "c.yaml"), tau=0.5, last=None)
+    assert got == {"root": "/data", "train": "a b.csv", "head": {"layers": 2, "rate": 0.001, "use": True, "inner": {"names": ["x", "y"]}}, "tau": 0.5, "folds": [1, 2], "last": "z"}
+    monkeypatch.setenv("TESSERAE_PATHS", str(tmp_path / "c.yaml"))
+    assert tables.Paths.load().at("train") == "/data/a b.csv" and tables.Paths.load().test == "test.csv"
+    (tmp_path / "d.yaml").write_text("train: other.csv\n")
+    assert tables.Paths.load(str(tmp_path / "d.yaml"), root="r").at("train") == "r/other.csv"
+
+
+def png(path, pixels):
+    """Write rows of (r, g, b) as a PNG."""
+    import struct
+    import zlib
+
+    h, w = len(pixels), len(pixels[0])
+    raw = b"".join(b"\0" + bytes(c for p in row for c in p) for row in pixels)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b""))
+
+
+def test_images(spark, tmp_path):
+    """Red-green-blue frames: dark bands cropped, capped by area, broken files skipped; gray by luma."""
+    px = [[(0, 0, 0)] * 6] * 2 + [[(200, 100, 50)] * 6] * 8 + [[(0, 0, 0)] * 6] * 2
+    png(tmp_path / "a.png", px)
+    (tmp_path / "broken.png").write_bytes(b"not an image")
+    gray = tables.read_gray(spark, str(tmp_path)).collect()
+    assert len(gray) == 1 and (gray[0].width, gray[0].height) == (6, 12) and gray[0].gray[5] == [round(0.299 * 200 + 0.587 * 100 + 0.114 * 50)] * 6
+    whole = tables.read_rgb(spark, str(tmp_path)).collect()
+    assert len(whole) == 1 and (whole[0].width, whole[0].height) == (6, 12) and whole[0].rgb[6 * 3 * 5 :][:3] == bytes((200, 100, 50))
+    cut = tables.read_rgb(spark, str(tmp_path), crop=True).first()
+    assert (cut.width, cut.height) == (6, 8) and cut.rgb == bytes((200, 100, 50)) * 48
+    small = tables.read_rgb(spark, str(tmp_path), crop=True, limit=12).first()
+    assert small.width * small.height <= 12 and (small.width, small.height) == (3, 4) and small.rgb == bytes((200, 100, 50)) * 12
+
+
+def test_chunks(spark, tmp_path):
+    ids = spark.range(25).select(F.col("id").alias("pos"), F.concat(F.lit("s"), "id").alias("id"))
+    rows = ids.withColumn("img", F.array(F.col("pos").cast("double")))
+    at = str(tmp_path / "c")
+    tables.write_chunks(rows.filter("pos < 10"), at, 5)
+    tables.write_chunks(rows, at, 5)  # the first two are there already
+    got = tables.merge_chunks(ids, at).collect()
+    assert [r.pos for r in got] == list(range(25)) and got[7].img == [7.0] and len(got) == 25
+    for bad in (ids.filter("pos < 24"), ids.withColumn("id", F.when(F.col("pos") == 3, "other").otherwise(F.col("id"))), spark.range(26).select(F.col("id").alias("pos"), F.concat(F.lit("s"), "id").alias("id"))):
+        with pytest.raises(Exception, match="chunks do not match"):
+            tables.merge_chunks(bad, at).collect()
+
+
+def test_joins_that_must_be_total(spark):
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "pos int, id string")
+    b = spark.createDataFrame([("y", 2), ("x", 1)], "id string, v int")
+    assert [r.v for r in tables.ordered_lookup(a, b).collect()] == [1, 2]
+    with pytest.raises(Exception, match="no row"):
+        tables.ordered_lookup(a, b.filter("v = 1")).collect()
+    assert tables.left_total(a, b, "id", "v").count() == 2
+    with pytest.raises(Exception, match="no v for a key"):
+        tables.left_total(a, b.filter("v = 1"), "id", "v").collect()
+    assert tables.coverage(a, b.filter("v = 1")).first().asDict() == {"n": 2, "n_covered": 1, "complete": False}
+    assert [r.pos for r in tables.with_position(spark.range(50).repartition(7), "id").orderBy("id").collect()] == list(range(50))
+    with pytest.raises(Exception, match="merge check failed"):
+        metrics.merge_check(spark.createDataFrame([(True,)] * 3 + [(False,)] * 7, "match boolean")).collect()
+
+
+def test_submission_is_read_back(spark, tmp_path, monkeypatch):
+    test = spark.createDataFrame([(5, "b"), (9, "a"), (2, "c")], "pos int, id string")
+    pred = spark.createDataFrame([("a", A1), ("b", IDENT), ("c", A2)], "id string, rank array<int>")
+    monkeypatch.setattr(tables, "SHARE", (0.0, 1.0))
+    assert tables.write_submission(test, pred, str(tmp_path / "s"))["share_ok"]
+    assert [r.Id for r in spark.read.option("header", True).csv(str(tmp_path / "s")).collect()] == ["c", "b", "a"]
+    monkeypatch.setattr(tables, "submission", lambda t, p: t.select("pos", F.col("id").alias("Id"), F.lit("[1, 1, 2, 3]").alias("Answer")))
+    with pytest.raises(ValueError, match="written submission is wrong"):
+        tables.write_submission(test, pred, str(tmp_path / "t"))
+
+
+def test_chat_connector(spark):
+    sent = []
+
+    def transport(url, headers, body):
+        import json
+
+        sent.append((url, headers, json.loads(body)))
+        return json.dumps({"choices": [{"message": {"content": [{"type": "text", "text": "a"}, "b", {"text": "c"}]}}]})
+
+    call = tables.chat_caller(transport, "http://localhost:8000/v1/", "m", json_mode=True, temperature=0.1, max_tokens=5)
+    assert call("s", "u") == "abc"
+    url, headers, payload = sent[0]
+    assert url == "http://localhost:8000/v1/chat/completions" and "Authorization" not in headers
+    assert payload == {"model": "m", "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}], "temperature": 0.1, "max_tokens": 5, "response_format": {"type": "json_object"}}
+    with pytest.raises(ValueError, match="key"):
+        tables.chat_request("https://api.example.org", "m", "s", "u")
+    assert tables.chat_request("https://api.example.org/chat/completions", "m", "s", "u", key="k")[1]["Authorization"] == "Bearer k"
+    assert tables.chat_content('{"choices": [{"message": {"content": "plain"}}]}') == "plain"
+
+
+def test_group_folds_deal_as_one_by_one(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(40):
+        k = rng.randint(2, 6)
+        sizes = [rng.choice([1, 1, 1, 2, 3, 7, 40]) for _ in range(rng.randint(1, 120))]
+        load = [0] * k
+        want = {}
+        for size in sorted(sizes, reverse=True):
+            f = load.index(min(load))
+            load[f] += size
+            want[size, f] = want.get((size, f), 0) + 1
+        kinds = [(x, sizes.count(x)) for x in set(sizes)]
+        assert {(size, f): high - low for size, f, low, high in similarity.fold_quotas(kinds, k)} == want
+    g = spark.range(400).select("id", (F.col("id") % 61).alias("grp"))
+    folds = similarity.group_folds(g, 4).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("grp").alias("g")).collect()
+    assert sum(r.g for r in folds) == 61 and max(r.n for r in folds) - min(r.n for r in folds) <= 7
+
+
+def test_nearest_is_exact(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(3000)]
+    rows = [(i, " ".join(rng.sample(words, rng.randint(1, 40)))) for i in range(150)] + [(200, None), (201, ""), (202, "alone xyz")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    vec = {}
+    for r in similarity.vectors(df, similarity.vocabulary(df)).collect():
+        vec.setdefault(r.id, {})[r.term] = r.w
+    for k in (1, 10):
+        got = similarity.nearest(df.filter("id % 5 = 0"), df, k).collect()
+        want = []
+        for q in (i for i in vec if i % 5 == 0):
+            sims = sorted((-round(sum(w * vec[m].get(t, 0.0) for t, w in vec[q].items()), 6), m) for m in vec if m != q and vec[q].keys() & vec[m].keys())
+            want += [(q, n + 1, m, -x) for n, (x, m) in enumerate(sims[:k])]
+        assert {(r.id, r["rank"], r.mate, r.sim) for r in got} == set(want)
+
+
+def test_similar_pairs_are_exact_at_any_cut(spark):
+    import random
+
+    rng = random.Random(9)
+    base = [[f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(rng.randint(1, 60))] for _ in range(60)]
+    texts = base + [[w if rng.random() < 0.9 else "zz" for w in b] for b in base] + [["aa", "bb"]] * 4
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    v = similarity.vectors(df, similarity.vocabulary(df))
+    vec = {}
+    for r in v.collect():
+        vec.setdefault(r.id, {})[r.term] = r.w
+    want = {(a, b) for a in vec for b in vec if a < b and round(sum(w * vec[b].get(t, 0.0) for t, w in vec[a].items()), 6) >= 0.8}
+    for common in (1, 6, 10_000):
+        assert {(r.a, r.b) for r in similarity.similar_pairs(v, None, 0.8, common).collect()} == want and len(want) > 20
+    reps = similarity.classes(df).collect()
+    assert {r.rep for r in reps if r.id >= 120} == {120}
+
+
+def test_loss_value(spark):
+    import math
+
+    logits, rank = [[1.0, 0.0, 2.0, -1.0], [0.5, 0.5, 0.0, 0.0], [0.0, 3.0, 0.0, 1.0], [0.0, 0.0, 0.0, 0.0]], [3, 1, 2, 4]
+    rows = [(logits, 0.7, rank, 12, False, 1.0), (logits, -0.2, IDENT, 0, True, 0.5)]
+    df = spark.createDataFrame(rows, "logits array<array<double>>, gate_logit double, rank array<int>, target int, no_ordering boolean, weight double")
+    got = calibrate.multi_task_loss(df.withColumn("scores", A.perm_scores(F.col("logits"))), pos_weight=3.0).first().loss
+    ls = [[x - math.log(sum(map(math.exp, row))) for x in row] for row in logits]
+    scores = [sum(ls[i][p[i] - 1] for i in range(4)) for p in itertools.permutations(IDENT)]
+    z = math.log(sum(map(math.exp, scores)))
+    perm = 0.95 * (z - scores[12]) + 0.05 * sum(z - x for x in scores) / 24
+    assert list(itertools.permutations(IDENT))[12] == tuple(rank)
+    frame = -sum(ls[i][rank[i] - 1] for i in range(4)) / 4
+    gate = (math.log1p(math.exp(0.7)) + 0.5 * 3.0 * math.log1p(math.exp(0.2))) / 2
+    assert abs(got - (gate + perm + 0.5 * frame)) < 1e-9
+
+
+def test_every_registered_query_has_sql_or_is_known(spark):
+    import __spark_entry__ as entry
+
+    missing = {n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"}
+    assert missing == {"phash_pairs", "stratified_cv_auc", "boosted_trees_auc"}
