@@ -49,6 +49,16 @@ def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.search(vptree.index(vectors), vectors.filter("vec_id % 100 = 0"))
 
 
+OP4_SQL = """
+WITH v AS (SELECT vec_id, min(e) AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
+  WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+d AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -136,4 +146,4 @@ FROM s JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.8)
 """
 
 QUERIES = {f.__name__: f for f in (op1_repeats, op2_lines, op3_licenses, op4_vptree, op5_pii, op6_quality, op7_chat, op8_minhash, op9_pieces, op10_decontam)}
-ORACLE: dict[str, str] = {"op2_lines": OP2_SQL, "op7_chat": OP7_SQL, "op8_minhash": OP8_SQL, "op10_decontam": OP10_SQL}
+ORACLE: dict[str, str] = {"op2_lines": OP2_SQL, "op4_vptree": OP4_SQL, "op7_chat": OP7_SQL, "op8_minhash": OP8_SQL, "op10_decontam": OP10_SQL}

@@ -132,6 +132,55 @@ def test_neighbours(spark):
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(loose.best, s.best, strict=True)]) >= 0.9
 
 
+def brute_neighbours(rows, queries, k):
+    """Distances by math.hypot's rule on the vectors of one length, ties to the smaller id."""
+    import math
+
+    out = set()
+    for q in queries:
+        near = sorted((math.dist(rows[q], v), i) for i, v in rows.items() if i != q and len(v) == len(rows[q]))
+        out |= {(q, n + 1, i) for n, (_, i) in enumerate(near[:k])}
+    return out
+
+
+@pytest.mark.parametrize("shard", [16, 8192])
+def test_neighbours_of_the_whole_query(spark, shard):
+    """Many cells or one, one hot vector in many copies, two lengths, squares that overflow or vanish."""
+    from tesserae.llm import vptree
+
+    rng = np.random.default_rng(7)
+    rows = {i: v.tolist() for i, v in enumerate(rng.normal(size=(300, 5)))}
+    rows |= {300 + i: [1.0, 2.0, 3.0, 4.0, 5.0] for i in range(150)}
+    rows |= {500 + i: v.tolist() for i, v in enumerate(rng.normal(size=(30, 3)))}
+    rows |= {600 + i: [1e200 * (i + 1), -3e200, 0.0, 0.0, 1.0] for i in range(15)}
+    rows |= {650 + i: [(i + 1) * 1e-170, 1e-165] for i in range(12)}
+    v = vptree.valid(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>"))
+    made = vptree.index(v, shard=shard, cells=12)
+    got = vptree.search(made, v.filter("vec_id % 10 = 0")).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == brute_neighbours(rows, [i for i in rows if i % 10 == 0], 10)
+    import math
+
+    assert all(math.isclose(r.score, math.dist(rows[r.query_id], rows[r.vec_id]), rel_tol=1e-14) for r in got)
+
+
+def test_neighbours_of_the_embeddings(spark):
+    """The registered query against brute force: recall one; a relaxed factor looks at less and finds most."""
+    import math
+
+    from tesserae.llm import queries, vptree
+
+    sf = "/root/testdata/sf0.01"
+    rows = {r.vec_id: [float(x) for x in r.embedding] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()}
+    got = queries.op4_vptree(spark, sf).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == brute_neighbours(rows, [i for i in rows if i % 100 == 0], 10)
+    assert all(math.isclose(r.score, math.dist(rows[r.query_id], rows[r.vec_id]), rel_tol=1e-14) for r in got)
+    points, ids = np.array([rows[i] for i in sorted(rows)]), np.array(sorted(rows))
+    q = np.arange(0, len(ids), 10)
+    exact, loose = (vptree.Search(vptree.build(points), ids, points, ids[q], points[q], 10, f) for f in (1.0, 6.0))
+    recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(loose.best, exact.best, strict=True)])
+    assert loose.compared < exact.compared and recall >= 0.9  # these vectors are random: only a large factor prunes
+
+
 def test_pii_patterns():
     from tesserae.llm import pii
 
