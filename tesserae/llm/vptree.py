@@ -46,22 +46,34 @@ def valid(vectors: DataFrame) -> DataFrame:
     return ok.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.size("v").alias("dim"), "v")
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(len(a), len(b)) Euclidean distances, components added in order."""
-    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
-        total = np.zeros((len(a), len(b)))
-        for k in range(a.shape[1]):
-            total += (a[:, k][:, None] - b[:, k][None]) ** 2
-        d = np.sqrt(total)
-        i, j = np.nonzero(~(d < np.inf) | (d < 1e-150))
-        for at in range(0, len(i), 4096):  # squares that overflow or vanish: again, with each pair's own scale
-            x = np.abs(a[i[at : at + 4096]] / 2 - b[j[at : at + 4096]] / 2)
-            top = x.max(1)
-            unit = x / np.where(top > 0, top, 1)[:, None]
-            d[i[at : at + 4096], j[at : at + 4096]] = np.sqrt((unit**2).sum(1)) * top * 2
+def _repair(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances whose squares overflowed or vanished, again with each pair's own scale."""
+    bad = np.flatnonzero(~(d < np.inf) | (d < 1e-150))
+    for at in range(0, len(bad), 4096):
+        i = bad[at : at + 4096]
+        x = np.abs(a[i] / 2 - b[i] / 2)
+        top = x.max(1)
+        unit = x / np.where(top > 0, top, 1)[:, None]
+        d[i] = np.sqrt((unit**2).sum(1)) * top * 2
     return d
 
 
+def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of matching rows, components added in order."""
+    total = np.zeros(len(a))
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        for x in np.ascontiguousarray((a - b).T):
+            total += x * x
+        return _repair(np.sqrt(total), a, b)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(len(a), len(b)) Euclidean distances, as pair_distances."""
+    i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+    out = [pair_distances(a[i[at : at + 8192]], b[j[at : at + 8192]]) for at in range(0, len(i), 8192)]
+    return np.concatenate(out).reshape(len(a), len(b)) if out else np.zeros((len(a), len(b)))
+
+
 def build(points: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
     """A vantage-point tree as flat arrays; leaves are runs of ``order``."""
     rng = np.random.default_rng(seed)
@@ -107,20 +119,32 @@ class Search:
         self.dist = np.full((len(q), k), np.inf)
         self.best = np.full((len(q), k), np.iinfo(np.int64).max, dtype=np.int64)
         self.limit = np.full(len(q), np.inf) if limit is None else limit  # no candidate beyond it is wanted
+        with np.errstate(over="ignore"):
+            self.qq, self.pp = (q * q).sum(1), (points * points).sum(1)
         self.compared = 0
         if len(points) and len(q):
             self.visit(0, np.arange(len(q)))
 
     def offer(self, who: np.ndarray, rows: np.ndarray) -> None:
-        for at in range(0, len(rows), 4 * LEAF):
-            part = rows[at : at + 4 * LEAF]
-            d = distances(self.q[who], self.p[part])
-            self.compared += d.size
-            ids = np.broadcast_to(self.ids[part], d.shape)
-            own = ids == self.qid[who][:, None]
-            dist, best = np.concatenate((self.dist[who], np.where(own, np.inf, d)), 1), np.concatenate((self.best[who], np.where(own, np.iinfo(np.int64).max, ids)), 1)
+        """Exact distances only where the squares' expansion, with its rounding error, does not rule a point out."""
+        for at in range(0, len(rows), 8 * LEAF):
+            part = rows[at : at + 8 * LEAF]
+            self.compared += len(who) * len(part)
+            with np.errstate(over="ignore", invalid="ignore"):
+                squares = self.qq[who][:, None] + self.pp[part][None]
+                wanted = np.minimum(self.dist[who, -1], self.limit[who])[:, None] ** 2 * (1 + 1e-9)
+                go = ~(squares - 2 * (self.q[who] @ self.p[part].T) > wanted + 1e-11 * squares)
+            go &= self.ids[part][None] != self.qid[who][:, None]
+            some = np.flatnonzero(go.any(1))
+            if not len(some):
+                continue
+            i, j = np.nonzero(go[some])
+            d, ids = np.full((len(some), len(part)), np.inf), np.full((len(some), len(part)), np.iinfo(np.int64).max)
+            d[i, j], ids[i, j] = pair_distances(self.q[who[some[i]]], self.p[part[j]]), self.ids[part[j]]
+            own = who[some]
+            dist, best = np.concatenate((self.dist[own], d), 1), np.concatenate((self.best[own], ids), 1)
             keep = np.lexsort((best, dist), axis=1)[:, : self.k]
-            self.dist[who], self.best[who] = np.take_along_axis(dist, keep, 1), np.take_along_axis(best, keep, 1)
+            self.dist[own], self.best[own] = np.take_along_axis(dist, keep, 1), np.take_along_axis(best, keep, 1)
 
     def visit(self, at: int, who: np.ndarray) -> None:
         vantage, left, right, start, end, llo, lhi, rlo, rhi = self.t["nodes"][at]
@@ -161,9 +185,9 @@ class Index:
 
 def _nearest(points: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nearest pivot, distance) of a batch of points of one length."""
-    d = distances(points, pivots)
-    at = d.argmin(1)
-    return at, d[np.arange(len(d)), at]
+    with np.errstate(over="ignore", invalid="ignore"):
+        at = ((pivots * pivots).sum(1)[None] - 2 * (points @ pivots.T)).argmin(1)  # near enough: the distance kept is that to the pivot named
+    return at, pair_distances(points, pivots[at])
 
 
 def _groups(dims: np.ndarray):
