@@ -1,14 +1,18 @@
 """Personal data: exact base patterns plus a linear-chain conditional random field.
 
 The base patterns give the spans that must be found.  The field labels whitespace tokens of
-each line by their word shapes (nine states: outside, and begin/inside for four kinds); it is
-fitted by gradient ascent on the small labelled table below and decoded by Viterbi over padded
-numpy batches.  A span can only begin at a token with a digit or ``@`` (a hard constraint of the
-model), so lines without one decode to "outside" and need no pass.  Spans of the field that
-touch no base span are added; base spans always stay.
+each line by their word shapes and neighbours (nine states: outside, and begin/inside for four
+kinds); it is fitted by gradient ascent on the small labelled table below and decoded by Viterbi
+over padded numpy batches.  A span can only begin at a token with a digit or ``@`` (a hard
+constraint of the model), so lines without one decode to "outside" and need no pass.  The field
+alone decides its spans; those that touch no base span are added, and base spans always stay.
+Lines of more than WINDOW tokens are decoded in windows that overlap by 2 * MARGIN tokens, each
+deciding its middle, so memory is bounded whatever a line's length.
 
 Defined results: null text counts as empty; an empty text has no spans; repeated rows give
-repeated results; whole texts are read whatever their length; other columns are ignored.
+repeated results; of spans that tie in score the state named first wins, so results repeat;
+whole texts are read whatever their length; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import blocks
+
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -117,31 +123,110 @@ LABELLED = [
     "0 1 2 3 4 5 6 7 8 9",
     "call me at 5 or card 12",
     "tel and phone are words with 2 of 3",
+    "office {phone:555-010-2299} is open",
+    "my number: {phone:555 010 5309} thanks",
+    "reach me on {phone:(212) 555-0187} or later",
+    "text {phone:415 555 0134} any day",
+    "mobile {phone:07700 900123} works",
+    "her cell is {phone:020 7946 0999} now",
+    "please ring {phone:212.555.0142} tonight",
+    "number {phone:(646) 555 0175}",
+    "{phone:303-555-0119} is the desk",
+    "we met and {phone:(0)161 496 0000} was dialled",
+    "word {phone:+1 (826) 555-0181} {ip:190.137.223.20} word",
+    "of {phone:+44 20 7946 0111} {ip:10.20.30.40} the",
+    "and {phone:+1 (303) 555-0144} {ip:170.106.47.218} the {email:mail6@example} end",
+    "to {email:first.last@server} with care",
+    "cc {email:dev-team@build} and go",
+    "from {email:root@gateway} at 5",
+    "ask {email:maria_k@mailhost} for 3 of them",
+    "name <{email:sam@corp-net}> wrote",
+    "{email:a.b@lan} said so",
+    "node {ip:10.1.2.3:9000} joined",
+    "block {ip:192.168.0.0/16} please",
+    "gateway {ip:172.20.0.1/24} or {ip:[10.0.0.1]:22} then",
+    "client {ip:198.51.100.7:5060} left",
+    "route {ip:203.0.113.0/29} was added",
+    "amex {card:3714 496353 98431} is valid",
+    "billed to {card:30569309025904} last week",
+    "diners {card:3852 000002 3237} used",
+    "charge {card:371449635398431} again",
+    "old visa {card:4222222222222} stopped",
+    "number 9807915762804490 of the part is long",
+    "code 9000426309966109 was not a key",
+    "los 1234567812345678 en 2020",
+    "value 7777888899990001 or 5",
+    "Licensed under CC BY-NC 4.0.",
+    "Apache License, Version 2.0. follows",
+    "Public License, version 3.",
+    "token = \"9233A8ECF7C5B09FE5949719B6B82BC439E9329B\" here",
+    "token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\" there",
+    "api_key=9c8b45435718dcc700c184a7e303cdc64c6a8f7f and 4 more",
+    "in 2019 and 2020 some 300 000 came",
+    "the 10 000 or 20 000 of 1999",
+    "rows 100 200 300 of page 7",
+    "build 1.2.3 and 4.5.6 passed",
+    "from 9:30 to 17:45 on 12.05.2021",
+    "isbn 978-3-16-148410-0 is a book",
+    "part 555-0100 in box 12",
+    "it rose 3.5 to 4.25 in 12 months",
+    "dates 2021-03-04 2021-03-05 2021-03-06",
+    "room 101 202 303 and 404",
+    "size 1024 x 768 at 60",
+    "version 10.4.1.2b of the kit",
+    "see @handle and @other_one today",
+    "price @ 12 each",
+    "vector 1 2 3 4 5 6",
+    "section 12.4.5.6.7 was cut",
+    "about 150 555 and 0100 units",
 ]
 _MARK = re.compile(r"\{(\w+):([^{}]*)\}")
 _TOKEN = re.compile(r"\S+")
-_CUES = {"tel", "tel:", "phone", "phone:", "call", "dial", "ring", "fax", "mobile", "card", "visa", "amex", "mail", "email", "email:", "e-mail", "contact", "write", "host", "server", "ip", "ip:", "ping"}
+_CUES = {
+    "tel": "p", "phone": "p", "call": "p", "dial": "p", "ring": "p", "fax": "p", "mobile": "p", "cell": "p", "number": "p", "reach": "p", "text": "p", "office": "p",
+    "card": "c", "visa": "c", "amex": "c", "paid": "c", "billed": "c", "charge": "c", "diners": "c",
+    "mail": "e", "email": "e", "e-mail": "e", "contact": "e", "write": "e", "cc": "e", "from": "e",
+    "host": "i", "server": "i", "ip": "i", "ping": "i", "node": "i", "gateway": "i", "client": "i", "route": "i",
+}
 
 
 @lru_cache(maxsize=200_000)
 def _shape(token: str) -> str:
-    """Word shape: letters x, digits 9, runs of up to four kept, longer runs as four and a plus."""
+    """Word shape: letters x, digits 9, runs of up to four digits kept, longer runs as four and a plus."""
     s = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "x", token))
     return re.sub(r"(x)\1+", "x+", re.sub(r"9{5,}", "9999+", s)).rstrip(",;!?")
 
 
+@lru_cache(maxsize=200_000)
+def _own(token: str) -> tuple[str, str, list[str]]:
+    """Kind, neighbour label and own features of a token."""
+    digits = _NOT_DIGIT.sub("", token)
+    kind = "d" if digits else "p" if not any(c.isalnum() for c in token) else "w"
+    shape = _shape(token)
+    out = ["s=" + shape, "k=" + kind, "n=%d" % min(20, len(digits)), "dots=%d" % min(4, token.count("."))]
+    if kind == "d" and any(c.isalpha() for c in token):
+        out.append("mixed")
+    if len(digits) >= 12:
+        out.append("luhn" if _luhn(digits) else "no-luhn")
+    if "@" in token:
+        out.append("at" if 0 < token.find("@") < len(token) - 1 else "at-edge")
+    if token[0] in "(+[":
+        out.append("first=" + token[0])
+    return kind, shape if kind == "d" else kind, out
+
+
 def features(tokens: list[str]) -> list[list[str]]:
-    shapes = [_shape(t) for t in tokens]
-    kinds = ["d" if re.search("[0-9]", t) else "p" if re.fullmatch(r"\W+", t) else "w" for t in tokens]
+    own = [_own(t) for t in tokens]
     out = []
-    for i, t in enumerate(tokens):
-        f = ["bias", "s=" + shapes[i], "k=" + kinds[i], "n=%d" % min(20, sum(c in "0123456789" for c in t))]
-        f.append("b=" + (shapes[i - 1] if i and kinds[i - 1] == "d" else kinds[i - 1] if i else "^"))
-        f.append("a=" + (shapes[i + 1] if i + 1 < len(tokens) and kinds[i + 1] == "d" else kinds[i + 1] if i + 1 < len(tokens) else "$"))
-        f.append("c=" + (tokens[i - 1].lower() if i and tokens[i - 1].lower() in _CUES else "-"))
-        if "@" in t:
-            f.append("at" if 0 < t.find("@") < len(t) - 1 else "at-edge")
-        f.append("dots=%d" % min(4, t.count(".")))
+    for i, (_, shown, mine) in enumerate(own):
+        before = own[i - 1][1] if i else "^"
+        after = own[i + 1][1] if i + 1 < len(own) else "$"
+        cue = "-"
+        for j in range(max(0, i - 3), i):
+            cue = _CUES.get(tokens[j].lower().rstrip(":,."), cue)
+        f = ["bias", *mine, "b=" + before, "a=" + after, "c=" + cue, "c=%s k=%s" % (cue, own[i][0])]
+        if own[i][0] == "d":
+            f += [f"sb={shown} {before}", f"sa={shown} {after}", f"cs={cue} {shown}"]
         out.append(f)
     return out
 
@@ -162,7 +247,7 @@ def _labelled() -> list[tuple[list[str], list[int]]]:
         tokens, labels = [], []
         for m in _TOKEN.finditer(plain):
             tokens.append(m[0])
-            inside = [(k, s) for k, s, e in spans if s <= m.start() and m.end() <= e]
+            inside = [(k, s) for k, s, e in spans if s < m.end() and m.start() < e]
             labels.append(0 if not inside else 1 + 2 * inside[0][0] + (m.start() > inside[0][1]))
         rows.append((tokens, labels))
     return rows
@@ -280,50 +365,75 @@ def decode(lines: list[list[str]], model: tuple[dict[str, int], np.ndarray, np.n
 
 
 def _trim(text: str, s: int, e: int) -> tuple[int, int]:
-    while e > s and text[e - 1] in ".,;:!?\"'":
+    while e > s and text[e - 1] in ".,;:!?\"'>":
         e -= 1
-    while s < e and text[s] in "\"'":
+    while s < e and text[s] in "\"'<":
         s += 1
     return s, e
 
 
-#: What a span of the field must look like to count: characters, and the fewest and most digits.
-_PLAUSIBLE = ((re.compile(r"[^@\s]+@[^@\s]+"), 0, 99), (re.compile(r"\[?[0-9]+(\.[0-9]+){3}\]?([:/][0-9]+)?"), 4, 20), (re.compile(r"[0-9][0-9 -]*[0-9]"), 13, 19), (re.compile(r"\+?[0-9(][0-9 ().-]*[0-9]"), 7, 15))
+WINDOW, MARGIN = 400, 24  #: tokens decoded together, and of these how many on either side only help
+
+
+def _windows(n: int):
+    """(first, end, first decided, end decided) of the windows of a line of n tokens."""
+    if n <= WINDOW:
+        yield 0, n, 0, n
+        return
+    step = WINDOW - 2 * MARGIN
+    for at in range(0, n, step):
+        yield max(0, at - MARGIN), min(n, at + step + MARGIN), at, min(n, at + step)
+
+
+LINES = 2000  #: windows decoded side by side
+
+
+def _line_states(lines: list[list[str]], model) -> list[np.ndarray]:
+    """States of token lists of any length."""
+    out = [np.zeros(len(x), dtype=np.int8) for x in lines]
+    cuts = [(i, *w) for i, x in enumerate(lines) for w in _windows(len(x))]
+    for at in range(0, len(cuts), LINES):
+        part = cuts[at : at + LINES]
+        for (i, first, _, start, end), states in zip(part, decode([lines[i][a:b] for i, a, b, _, _ in part], model), strict=True):
+            out[i][start:end] = states[start - first : end - first]
+    return out
 
 
-def _plausible(kind: int, s: str) -> bool:
-    pattern, least, most = _PLAUSIBLE[kind]
-    return pattern.fullmatch(s) is not None and least <= len(_NOT_DIGIT.sub("", s)) <= most
+TOKENS = 100_000  #: tokens of lines held at once, unless one line has more
 
 
 def field_spans(texts: list[str], model) -> list[list[tuple[int, int, int]]]:
     """Spans of the field for each text, over every line that could hold one."""
-    lines, where = [], []
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    held: list[tuple[int, int, str]] = []
+
+    def flush() -> None:
+        toks = [[(m[0], at + m.start(), at + m.end()) for m in _TOKEN.finditer(line)] for _, at, line in held]
+        for (n, _, _), row, states in zip(held, toks, _line_states([[t for t, _, _ in r] for r in toks], model), strict=True):
+            begins = np.flatnonzero(states % 2 == 1)
+            for i in begins.tolist():
+                s, j = int(states[i]), i + 1
+                while j < len(row) and states[j] == s + 1:
+                    j += 1
+                a, b = _trim(texts[n], row[i][1], row[j - 1][2])
+                if b > a:
+                    out[n].append(((s - 1) // 2, a, b))
+        held.clear()
+
+    size = 0
     for n, text in enumerate(texts):
         if _CUE.search(text) is None:
             continue
         at = 0
         for line in text.split("\n"):
             if _CUE.search(line):
-                toks = [(m[0], at + m.start(), at + m.end()) for m in _TOKEN.finditer(line)]
-                lines.append([t for t, _, _ in toks])
-                where.append((n, toks))
+                held.append((n, at, line))
+                size += line.count(" ") + 1
+                if size >= TOKENS:
+                    flush()
+                    size = 0
             at += len(line) + 1
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (n, toks), states in zip(where, decode(lines, model), strict=True):
-        i = 0
-        while i < len(toks):
-            s = int(states[i])
-            if s % 2 == 1:
-                j = i + 1
-                while j < len(toks) and states[j] == s + 1:
-                    j += 1
-                a, b = _trim(texts[n], toks[i][1], toks[j - 1][2])
-                if b > a and _plausible((s - 1) // 2, texts[n][a:b]):
-                    out[n].append(((s - 1) // 2, a, b))
-                i = j
-            else:
-                i += 1
+    flush()
     return out
 
 
@@ -354,12 +464,14 @@ def detect(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(0)
-            rows = find([t or "" for t in batch.column(1).to_pylist()], model)
-            counts = [[sum(k == want for k, _, _ in base) for base, _ in rows] for want in range(4)]
-            yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(_listed(b).encode()).hexdigest() for b, _ in rows], pa.string()), pa.array([_listed(a) for _, a in rows], pa.string()), pa.array([len(a) - len(b) for b, a in rows], pa.int64())],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
-            )
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for at, part in blocks(texts):
+                rows = find(part, model)
+                counts = [[sum(k == want for k, _, _ in base) for base, _ in rows] for want in range(4)]
+                sha = [hashlib.sha256(_listed(b).encode()).hexdigest() for b, _ in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(part)).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array([_listed(a) for _, a in rows], pa.string()), pa.array([len(a) - len(b) for b, a in rows], pa.int64())],
+                    names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
