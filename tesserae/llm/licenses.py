@@ -1,17 +1,19 @@
 """License scan (DataFrame and SQL functions only).
 
-A multinomial logistic regression over word 1- to 3-grams, trained on notices derived from the
-templates below and on unlicensed prose, names the licence family of a paragraph (one line of
-a text).  Its softmax is calibrated by a temperature fitted on held-out notices; paragraphs
-whose best calibrated probability stays under ``cut``, or whose best class is the unknown class,
-are unknown.  A named family counts only if the paragraph shares at least ``overlap`` of the
-smaller side's 3-grams with one of the family's templates.
-
-Scored are the paragraphs with a 3-gram of a template, which alone can reach an overlap, and
-those with a cue stem, which get a row although they may be unknown.  Any other paragraph would
-be unknown whatever the classifier said.  Defined results: null text counts as empty; a document
-without such a paragraph has no row; repeated document rows give repeated rows; empty tables give an empty result; other
-columns are ignored; whole texts are read whatever their length.
+A multinomial logistic regression over sparse word 1- to 3-grams, trained on notices derived from
+the templates below, alone and amid prose, and on prose without a licence, names the licence
+family of a paragraph (the lines between two blank ones; a notice may wrap).  Its softmax is
+calibrated by a temperature fitted on other wordings and other prose than it was trained on;
+paragraphs whose best calibrated probability stays under ``cut``, or whose best class is the
+unknown class, are unknown.  A named family counts only if the paragraph shares at least
+``overlap`` of the smaller side's 3-grams with one of the family's templates.
+
+Rows are the paragraphs with a 3-gram of a template.  No other can reach an overlap, so the
+family of every other paragraph is unknown whatever the classifier says: nothing is lost.
+Defined results: null text counts as empty; a document without such a paragraph has no row;
+repeated document rows give repeated rows; of classes that tie the first by name wins; empty
+tables give an empty result; other columns are ignored, whatever their names; whole texts are
+read whatever their length, and only grams with a weight leave a paragraph's row.
 """
 
 from __future__ import annotations
@@ -56,7 +58,26 @@ NEGATIVES = [
     "the author has rights to a share of the profit", "the warranty of the lamp covers two years", "the use of force is not permitted here", "no part of the plan was reproduced by the press",
     "apache helicopters flew over the valley", "he studied at mit and moved to the coast", "the bar lost its liquor licence in version two of the story", "free of charge the guide took any person along",
 ]
-CUES = ("licen", "copyright", "permission", "redistribut", "public domain", "warrant", "creative commons", "all rights", "waived")
+#: Other wordings and other prose, for calibration only.
+HELD_NOTICES = [
+    ("apache", "Distributed under the terms of the Apache License 2.0."), ("apache", "You may obtain a copy of the License; unless required by law, use of this file follows the Apache License."),
+    ("mit", "This project is MIT licensed."), ("mit", "Permission is granted, free of charge, to deal in this software without restriction, as the MIT License says."),
+    ("bsd", "Use of this source code is governed by a BSD-style license."), ("bsd", "Redistribution in source and binary forms is permitted under the BSD terms."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program."), ("gpl", "Distributed under the GNU GPL, version 3 or later."),
+    ("lgpl", "This library falls under the GNU Lesser General Public License."), ("agpl", "Released under the GNU Affero General Public License v3."),
+    ("mpl", "Licensed under the Mozilla Public License 2.0."), ("cc-by", "Available under a Creative Commons Attribution 4.0 licence."),
+    ("cc-by-sa", "Shared under Creative Commons Attribution-ShareAlike 4.0."), ("cc-by-nc", "For non-commercial use, see CC BY-NC 4.0."),
+    ("cc0", "Dedicated to the public domain under CC0 1.0."), ("isc", "Permission to use, copy, modify and distribute with or without fee is granted by the ISC licence."),
+    ("epl", "Available under the Eclipse Public License v2."), ("unlicense", "Released into the public domain, free and unencumbered."),
+    ("proprietary", "All rights reserved. Do not reproduce without written permission."),
+]
+HELD_PROSE = [
+    "the licence of the pub was taken away after the fire", "the public was free to enter the domain of the duke", "general practice is to use the source of the spring",
+    "permission was granted by the court in the end", "he used the software without any fee for a year", "the terms were made available to the press on monday", "this program was shown on the second channel",
+    "the mozart of the north was born here", "eclipse watchers met on the hill at noon", "creative work is seldom common in this trade", "a copy of the letter lies in the drawer",
+    "the apache people lived in the south", "version two of the plan was under review", "they modify the engine and distribute the parts", "the rights of the tenant were reserved for later",
+    "without restriction the goats ate the hedge", "in binary terms a one is a switch that is on", "the work was licensed as a tavern song",
+]
 UNKNOWN = "unknown"
 
 
@@ -98,15 +119,21 @@ def inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 
 def training_rows() -> list[dict]:
-    """Notices cut and wrapped by rule; every fourth variant of a template is held out for calibration."""
+    """Notices cut, wrapped and set amid prose by rule, and prose; held rows are the calibration's own."""
     out = []
-    for family, text in TEMPLATES:
+    for k, (family, text) in enumerate(TEMPLATES):
         w = text.split()
-        variants = [text, text.upper(), f"Copyright 2020 the authors. {text}", f"{text} See the file for details.", " ".join(w[1:]), " ".join(w[:-1]), f"note {text.lower()} thanks", f"(c) 2019 {text} no warranty"]
-        out += [{"label": family, "text": v, "held": i % 4 == 3} for i, v in enumerate(variants)]
+        one, two = NEGATIVES[k % len(NEGATIVES)], NEGATIVES[(k * 7 + 3) % len(NEGATIVES)]
+        variants = [text, text.upper(), f"Copyright 2020 the authors. {text}", f"{text} See the file for details.", " ".join(w[1:]), " ".join(w[:-1]), f"note {text.lower()} thanks", f"(c) 2019 {text} no warranty", f"{one}. {text}", f"{one}. {text} {two}."]
+        out += [{"label": family, "text": v, "held": False} for v in variants]
     for i, text in enumerate(NEGATIVES):
-        out += [{"label": UNKNOWN, "text": v, "held": (i + k) % 4 == 3} for k, v in enumerate([text, text + " on the way home", "and " + text])]
-    return out
+        out += [{"label": UNKNOWN, "text": v, "held": False} for v in (text, text + " on the way home", "and " + text, f"{text}. {NEGATIVES[(i * 5 + 1) % len(NEGATIVES)]}")]
+    out += [{"label": f, "text": t, "held": True} for f, t in HELD_NOTICES]
+    return out + [{"label": UNKNOWN, "text": t, "held": True} for t in HELD_PROSE]
+
+
+#: Temperatures tried, a tenth to a hundred.
+GRID = [10 ** (k / 20 - 1) for k in range(61)]
 
 
 _MODELS: dict[str, dict] = {}
@@ -122,7 +149,7 @@ def train(spark: SparkSession) -> dict:
     names = sorted({f for f, _ in TEMPLATES} | {UNKNOWN})
     rows = [r | {"y": float(names.index(r["label"]))} for r in training_rows()]
     data = _features(inline(spark, rows, "label string, text string, held boolean, y double")).coalesce(1).cache()
-    vec = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(data)
+    vec = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(data.filter("not held"))
     seen = vec.transform(data)
     lr = LogisticRegression(labelCol="y", regParam=0.002, maxIter=60).fit(seen.filter("not held"))
     held = [(list(r.rawPrediction), int(r.y)) for r in lr.transform(seen.filter("held")).select("rawPrediction", "y").collect()]
@@ -135,20 +162,19 @@ def train(spark: SparkSession) -> dict:
         return total
 
     matrix, bias = lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()
-    model = {"families": names, "bias": [float(x) for x in bias], "temperature": min((0.25 * k for k in range(1, 41)), key=loss), "weights": {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(vec.vocabulary)}}
+    model = {"families": names, "bias": [float(x) for x in bias], "temperature": min(GRID, key=loss), "weights": {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(vec.vocabulary)}}
     data.unpersist()
     _MODELS[key] = model
     return model
 
 
 def scan(docs: DataFrame, cut: float = 0.5, overlap: float = 0.5) -> DataFrame:
-    """(doc_id, paragraph, n_words, predicted, probability, overlap, family): one row per paragraph with a 3-gram of a template or a cue stem."""
+    """(doc_id, paragraph, n_words, predicted, probability, overlap, family): one row per paragraph with a 3-gram of a template; paragraphs count from 0."""
     spark = docs.sparkSession
     model = train(spark)
     names = model["families"]
-    has_cue = lambda c: F.greatest(*[F.contains(c, F.lit(x)).cast("int") for x in CUES]) == 1
     paras = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    paras = paras.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "text")).filter(has_cue(F.lower("text")) | _has_template_gram(F.col("text")))
+    paras = paras.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", r"\n(?:[ \t\r]*\n)+", -1)).alias("paragraph", "text")).filter(_has_template_gram(F.col("text")))
     paras = _features(paras).select("doc_id", "row_key", "paragraph", F.size("w").alias("n_words"), "grams", F.array_distinct(grams("w", 3)).alias("g3"))
     weights = F.broadcast(inline(spark, [{"gram": g, "wt": w} for g, w in model["weights"].items()], "gram string, wt array<double>"))  # a fixed table
     # copies of a row would add up; they are scored once and given back their number
