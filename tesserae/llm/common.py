@@ -1,16 +1,11 @@
-"""Helpers shared by the operators: table access, shared-folder materialisation, byte hashing."""
+"""Helpers shared by the operators: the engine's table access and shared folder, byte hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import SparkSession
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..sources.tables import discard, saved, shared_dir, table  # noqa: F401  (for the operators)
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -20,22 +15,6 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where it is unset, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
-    return sc.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read it back (survives lost executors)."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The public murmur3 64-bit finaliser, vectorised (wraps modulo 2**64)."""
     x = x ^ (x >> np.uint64(33))

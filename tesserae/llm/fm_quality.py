@@ -11,7 +11,8 @@ is scored, over its whole text.
 
 Defined results: null text counts as empty and is scored like any other; null n_chars counts as
 the text's own length; labels that are null or whose document is absent are not learned from; a
-document labelled twice is learned from twice; with no label of one class every score is the
+document labelled twice is learned from twice; of rows that repeat a doc_id the smallest text is
+learned from, and each is scored; with no label of one class every score is the
 other's share; empty tables give empty results; other columns are ignored.
 """
 
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_VALUES, blocks, fresh, prefix_sums, range_hashes, text_bytes, words_of
+from .common import LOWER_VALUES, blocks, fresh, prefix_sums, range_hashes, saved, text_bytes, words_of
 
 BUCKETS = 1 << 13
 FACTORS = 8
@@ -144,9 +145,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> dict:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold (hash order; the bound of the sample)."""
     usable = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
     some = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
-    chosen = F.broadcast(some)  # max_rows rows at most
-    text = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"))
-    got = _features(text.join(chosen, "doc_id")).collect()  # bounded by max_rows
+    chosen = saved(some)  # max_rows rows at most
+    text = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), F.col("n_chars").cast("long").alias("n_chars")).alias("d"))
+    # of rows that repeat a doc_id one is learned from, so that no more than max_rows come back
+    one = text.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("d").alias("d"))
+    got = _features(one.join(F.broadcast(chosen), "doc_id").select("quality", "d.text", "d.n_chars")).collect()
     rows = [(np.frombuffer(r.cols, np.int32), np.frombuffer(r.vals, np.float32), float(r.quality)) for r in got]
     rows.sort(key=lambda r: (r[2], len(r[0]), r[1].tobytes()))
     m = fit(rows)

@@ -12,8 +12,9 @@ threshold are done; the rest are compared with the most central member.  What is
 split is settled by products of the incidence matrices of shared shingles, in chunks of a bucket
 that fit a task; a chunk pair returns at most one link for each component it joins, no pairs.
 
-Documents are grouped by the hash of their whole shingle set first, so copies cost one row
-each and no pair.  Defined results: null text counts as empty; documents without words have an
+Documents are grouped by two 64-bit hashes of their whole shingle set first, so copies cost one
+row each and no pair; where sets that share the first differ in the second, they are named anew.
+A leader of very many pairs has its text dealt to several tasks.  Defined results: null text counts as empty; documents without words have an
 empty set and link with nothing; rows that share a doc_id are linked and each gets a row; a null
 doc_id has a null component and is not kept; other columns are ignored; whole texts are read.
 """
@@ -24,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, saved, text_bytes
-from .graph import components
+from ..operators.graph import components
+from .common import blocks, discard, mix64, saved, text_bytes
 from .shingles import shingle_sets
 
 M = 128  #: registers
@@ -34,6 +35,7 @@ MANTISSA = 10
 #: Chance that two registers of different minima agree, about 2**-MANTISSA / 3 a bucket; measured on disjoint sets.
 COLLISION = 0.0004
 EMPTY = np.uint16(0xFFFF)
+FAN = 1024  #: pairs of one leader that a task takes
 
 
 def registers(owner: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
@@ -83,8 +85,20 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key
 
 
+def _set_hashes(owner: np.ndarray, gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each document's set."""
+    out = []
+    for salt in (0xA5A5A5A5, 0x5DEECE66D1CE4E5B):
+        total = np.zeros(len(n), dtype=np.uint64)
+        if len(gram):
+            begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            total[owner[begin]] = np.add.reduceat(mix64(gram ^ np.uint64(salt)), begin)
+        out.append(mix64(total + n.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, regs): node is a hash of the whole set, null for an empty one."""
+    """(doc_id, n_shingles, node, own, other, regs): own and other are hashes of the whole set, node is own; null for an empty set."""
 
     def run(batches):
         import pyarrow as pa
@@ -94,17 +108,23 @@ def signatures(docs: DataFrame) -> DataFrame:
             for at, part in blocks(texts):
                 owner, gram = shingle_sets(part)
                 n = np.bincount(owner, minlength=len(part))
-                total = np.zeros(len(part), dtype=np.uint64)
-                if len(gram):
-                    begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                    total[owner[begin]] = np.add.reduceat(mix64(gram ^ np.uint64(0xA5A5A5A5)), begin)
-                node = mix64(total + n.astype(np.uint64)).view(np.int64)
-                regs = registers(owner, gram, len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(part)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), pa.array([r.tobytes() for r in regs], pa.binary())], names=["doc_id", "n_shingles", "node", "regs"]
-                )
+                own, other = (pa.array(h, pa.int64(), mask=n == 0) for h in _set_hashes(owner, gram, n))
+                regs = pa.array([r.tobytes() for r in registers(owner, gram, len(part))], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)).cast(pa.int64()), pa.array(n, pa.int64()), own, own, other, regs], names=["doc_id", "n_shingles", "node", "own", "other", "regs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, regs binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, own long, other long, regs binary")
+
+
+def _sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with a node for each different set, and (node, rep, n, regs, own, other) of the sets."""
+    seed = 0
+    while True:
+        agg = [F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("regs").alias("regs"), F.min("own").alias("own"), F.min("other").alias("other"), F.max("other").alias("last")]
+        sets = saved(rows.filter("node is not null").groupBy("node").agg(*agg))
+        if sets.filter("other <> last").isEmpty():
+            return rows, sets.drop("last")
+        seed += 1  # one hash was not enough to tell two sets apart: name all by both
+        rows = saved(rows.withColumn("node", F.when(F.col("node").isNotNull(), F.xxhash64("own", "other", F.lit(seed)))))
 
 
 def _bands(sets: DataFrame) -> DataFrame:
@@ -125,7 +145,11 @@ def _confirm(pairs: DataFrame, texts: DataFrame, num: int, den: int, slack: floa
     """The pairs (a, b) with den * intersection >= num * union, estimated from registers first, then counted on full sets."""
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"), F.col("regs").alias("ra"))
     tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"), F.col("regs").alias("rb"))
-    both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "ra", "tb", "rb")
+    # a leader of many pairs meets them in several tasks
+    busy = saved(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("salts")).filter("salts > 1"))
+    dealt = pairs.join(busy, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    ta = ta.join(busy, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    both = dealt.join(tb, "b").join(ta, ["a", "salt"]).select("a", "b", "ta", "ra", "tb", "rb")
     floor = num / den - slack
 
     def run(batches):
@@ -191,16 +215,16 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, slack: float
     ``slack`` is seven standard deviations of the estimate at the threshold (M registers): a pair
     that far below is left out before the exact count.
     """
-    rows = saved(signatures(docs))
-    sets = saved(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("regs").alias("regs")))
+    rows, sets = _sets(saved(signatures(docs)))
     bands = _bands(sets)
     hot = bands.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader <> other").select("band", "leader")
     shared = saved(bands.join(hot, "band").select("band", "leader", "node"))
     involved = shared.select("node").distinct()
-    wanted = sets.join(involved, "node").select("node", "rep", "regs")
+    wanted = sets.join(involved, "node").select("node", "rep", "regs", "own", "other")
     texts = saved(_with_text(docs, wanted))
     pairs = shared.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = saved(_confirm(pairs, texts, num, den, slack))
+    first, shared_ = links, shared
     links, labels = _settle(shared.select("band", "node"), texts, sets, links, num, den, slack)
     # rows that share a doc_id but not a set
     ids = rows.filter("doc_id is not null and node is not null")
@@ -208,6 +232,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, slack: float
     twice = saved(ids.join(split, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct())
     if not twice.isEmpty():
         labels = components(links.unionByName(twice))
+    discard(texts, shared_, sets, first, twice, links)  # what is left reads rows and labels only
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component"))
     out = named.join(lowest, "label", "left")
@@ -216,25 +241,21 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, slack: float
 
 
 def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, regs, text) for (node, rep, regs): the text of one row whose set is the node's."""
+    """(node, regs, text) for (node, rep, regs, own, other): the text of one row whose set is the node's."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            texts, node = text_bytes(b.column(2)), b.column(0).to_numpy()
+            texts, want = text_bytes(b.column(2)), [b.column(i).to_numpy() for i in (3, 4)]
             keep = np.zeros(len(texts), dtype=bool)
             for at, part in blocks(texts):
                 owner, gram = shingle_sets(part)
-                n = np.bincount(owner, minlength=len(part)).astype(np.uint64)
-                total = np.zeros(len(part), dtype=np.uint64)
-                if len(gram):
-                    begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                    total[owner[begin]] = np.add.reduceat(mix64(gram ^ np.uint64(0xA5A5A5A5)), begin)
-                keep[at : at + len(part)] = mix64(total + n).view(np.int64) == node[at : at + len(part)]
-            yield b.filter(pa.array(keep))
-
-    named = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rep").select("node", "regs", "text")
+                have = _set_hashes(owner, gram, np.bincount(owner, minlength=len(part)))
+                keep[at : at + len(part)] = [bool(x) for x in (have[0] == want[0][at : at + len(part)]) & (have[1] == want[1][at : at + len(part)])]
+            yield b.select(["node", "regs", "text"]).filter(pa.array(keep))
+
+    named = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rep").select("node", "regs", "text", "own", "other")
     return named.mapInArrow(run, "node long, regs binary, text string").dropDuplicates(["node"])
 
 

@@ -3,15 +3,16 @@
 Texts are cut where no piece can cross (before a run of spaces, around characters that occur in
 no longer piece); the distinct units of a batch are concatenated and indexed by a suffix array
 sorted to the length of the longest piece.  Every piece of the vocabulary is binary-searched for
-its range of occurrences; the resulting edges, put in order of position, say which spans of a
-unit are pieces.  Relaxation then joins neighbouring symbols along the best-scored edge (ties:
+its range of occurrences; the resulting edges are put in order of position by a table of [length,
+position], which says which spans of a unit are pieces.  Relaxation then joins neighbouring symbols along the best-scored edge (ties:
 leftmost) until no edge joins two of them, which is the byte-pair segmentation; characters
 without a piece fall back to byte pieces.
 
 Defined results: null text counts as empty; an empty text has no tokens; repeated rows give
 repeated results; a text holding U+2581 decodes to a space there, as the format has it (its
-round trip is then false); whole texts are encoded whatever their length; other columns are
-ignored.
+round trip is then false); of joins that tie in score the leftmost is first; whole texts are
+encoded whatever their length; an empty table gives an empty result; other columns are ignored,
+whatever their names.  A model that is not byte-pair, or that normalises texts, is refused.
 """
 
 from __future__ import annotations
@@ -32,6 +33,45 @@ BLOCK = 3_000_000  #: characters of text indexed at a time
 CHARS = 400_000  #: characters of distinct units in one suffix array
 
 
+def _fields(data: bytes):
+    """(number, value) of the fields of a protocol-buffer message: integers and bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if key & 7 == 2 else 4 if key & 7 == 5 else 8
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def check_model(proto: bytes) -> None:
+    """Raises unless the model is byte-pair, keeps texts as they are and marks their start by a space."""
+    trainer, normaliser = {}, {}
+    for number, value in _fields(proto):
+        if number == 2:
+            trainer = dict(_fields(value))
+        elif number == 3:
+            normaliser = dict(_fields(value))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("only byte-pair models are encoded here")
+    if normaliser.get(2, b"") or normaliser.get(4, 1) or not normaliser.get(3, 1) or not normaliser.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("only models without normalisation, with a space before the text, are encoded here")
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a model, small enough to travel with a task."""
 
@@ -61,6 +101,7 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        check_model(sp.serialized_model_proto())
         n = sp.get_piece_size()
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}

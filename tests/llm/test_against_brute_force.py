@@ -467,3 +467,58 @@ def test_license_families_of_unseen_paragraphs(spark):
     right = [got[i].family == f for i, (f, _) in enumerate(wanted)]
     assert sum(right) >= 0.9 * len(right), [(f, got[i].family) for i, (f, _) in enumerate(wanted)]
     assert {r.family for i, r in got.items() if i >= 1000} <= {licenses.UNKNOWN}
+
+
+def test_other_models_are_refused():
+    """Unigram models, normalisers and models that drop spaces; the default one is taken."""
+    import sentencepiece
+
+    from tesserae.llm import piece_match as pm
+
+    proto = sentencepiece.SentencePieceProcessor(model_file=pm.DEFAULT_MODEL).serialized_model_proto()
+    pm.check_model(proto)
+    message = lambda n, body: bytes([n << 3 | 2, len(body)]) + body
+    trainer, plain = message(2, bytes([3 << 3, 2])), message(3, bytes([4 << 3, 0]))
+    pm.check_model(trainer + plain)
+    for bad in (plain, message(2, bytes([3 << 3, 1])) + plain, trainer, trainer + message(3, bytes([4 << 3, 0]) + message(2, b"map")), trainer + message(3, bytes([4 << 3, 0, 3 << 3, 0]))):
+        with pytest.raises(ValueError, match="only"):
+            pm.check_model(bad)
+
+
+def test_sets_with_one_hash_are_told_apart(spark):
+    """Rows whose sets share the first hash but not the second are different nodes."""
+    from tesserae.llm import hyperminhash
+
+    rows = [(1, 3, 7, 7, 100, b"a"), (2, 3, 7, 7, 100, b"a"), (3, 4, 7, 7, 200, b"b"), (4, 5, 9, 9, 300, b"c"), (5, 0, None, None, None, b"")]
+    df = spark.createDataFrame(rows, "doc_id long, n_shingles long, node long, own long, other long, regs binary")
+    out, sets = hyperminhash._sets(df)
+    node = {r.doc_id: r.node for r in out.collect()}
+    assert node[1] == node[2] != node[3] and len(set(node.values())) == 4 and node[5] is None
+    assert {(r.rep, r.n, r.own, r.other) for r in sets.collect()} == {(1, 3, 7, 100), (3, 4, 7, 200), (4, 5, 9, 300)}
+
+
+def test_a_busy_leader(spark, monkeypatch):
+    """One text with very many near copies, dealt to several tasks."""
+    from tesserae.llm import hyperminhash
+
+    monkeypatch.setattr(hyperminhash, "FAN", 8)
+    base = prose(300).split()
+    rows = [(i, " ".join(base + [f"x{i}y{k}" for k in range(i % 5)])) for i in range(60)] + [(100, prose(300))]
+    got = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 0) for i in range(60)} | {(100, 100)}
+
+
+def test_sample_is_bounded_by_labels(spark):
+    """A doc_id repeated very often is learned from once."""
+    from tesserae.llm import fm_quality as fm
+
+    docs = spark.createDataFrame([(1, f"text number {i}", 5) for i in range(500)] + [(2, "two", 3), (3, None, None)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0)], "doc_id long, quality int")
+    seen = []
+    real = fm.fit
+    try:
+        fm.fit = lambda rows: seen.append(len(rows)) or real(rows)
+        fm.train(docs, labels)
+    finally:
+        fm.fit = real
+    assert seen == [sum(1 for r in labels.filter(~fm.held_out(labels.doc_id)).collect())] and seen[0] <= 4
