@@ -98,6 +98,11 @@ def template_grams() -> list[str]:
     return sorted(out)
 
 
+def _fixed(known: list[str]) -> Column:
+    """A fixed list of grams as one literal."""
+    return F.split(F.lit("|".join(known)), r"\|")
+
+
 def _has_template_gram(text: Column) -> Column:
     known = template_grams()
     first = sorted({g.split()[0] for g in known})
@@ -175,20 +180,23 @@ def scan(docs: DataFrame, cut: float = 0.5, overlap: float = 0.5) -> DataFrame:
     names = model["families"]
     paras = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     paras = paras.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", r"\n(?:[ \t\r]*\n)+", -1)).alias("paragraph", "text")).filter(_has_template_gram(F.col("text")))
-    paras = _features(paras).select("doc_id", "row_key", "paragraph", F.size("w").alias("n_words"), "grams", F.array_distinct(grams("w", 3)).alias("g3"))
+    paras = _features(paras).withColumn("g3", F.array_distinct(grams("w", 3)))
+    kept = [F.size("w").alias("n_words"), F.array_intersect("grams", _fixed(list(model["weights"]))).alias("grams"), F.size("g3").alias("n3"), F.array_intersect("g3", _fixed(template_grams())).alias("g3")]
+    paras = paras.select("doc_id", "row_key", "paragraph", *kept)  # what no weight and no template knows stays behind
     weights = F.broadcast(inline(spark, [{"gram": g, "wt": w} for g, w in model["weights"].items()], "gram string, wt array<double>"))  # a fixed table
     # copies of a row would add up; they are scored once and given back their number
-    one = paras.groupBy("doc_id", "row_key", "paragraph").agg(F.count(F.lit(1)).alias("times"), F.first("n_words").alias("n_words"), F.first("grams").alias("grams"), F.first("g3").alias("g3"))
+    one = paras.groupBy("doc_id", "row_key", "paragraph").agg(F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("n_words", "grams", "n3", "g3")])
     hit = one.withColumn("gram", F.explode_outer("grams")).join(weights, "gram", "left")
-    score = hit.groupBy("doc_id", "row_key", "paragraph", "times", "n_words", "g3").agg(*[F.sum(F.coalesce(F.get("wt", F.lit(i)), F.lit(0.0))).alias(f"s{i}") for i in range(len(names))])
+    held = ["times", "n_words", "n3", "g3"]
+    score = hit.groupBy("doc_id", "row_key", "paragraph").agg(*[F.first(c).alias(c) for c in held], *[F.sum(F.coalesce(F.get("wt", F.lit(i)), F.lit(0.0))).alias(f"s{i}") for i in range(len(names))])
     raw = F.array(*[(F.col(f"s{i}") + b) / model["temperature"] for i, b in enumerate(model["bias"])])
-    score = score.select("doc_id", "row_key", "paragraph", "times", "n_words", "g3", raw.alias("raw")).withColumn("top", F.array_max("raw"))
+    score = score.select("doc_id", "row_key", "paragraph", *held, raw.alias("raw")).withColumn("top", F.array_max("raw"))
     score = score.withColumn("at", F.array_position("raw", F.col("top")).cast("int")).withColumn("probability", 1 / F.aggregate("raw", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     score = score.withColumn("predicted", F.when(F.col("probability") >= cut, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("at"))).otherwise(UNKNOWN))
     shapes = _features(inline(spark, [{"predicted": f, "text": t} for f, t in TEMPLATES], "predicted string, text string")).select("predicted", F.array_distinct(grams("w", 3)).alias("t3"))
     shapes = F.broadcast(shapes.groupBy("predicted").agg(F.collect_list("t3").alias("templates")))  # as many rows as families
     joined = score.join(shapes, "predicted", "left")
-    like = F.array_max(F.transform(F.coalesce("templates", F.array().cast("array<array<string>>")), lambda t: F.size(F.array_intersect(t, F.col("g3"))) / F.greatest(F.least(F.size(t), F.size("g3")), F.lit(1))))
+    like = F.array_max(F.transform(F.coalesce("templates", F.array().cast("array<array<string>>")), lambda t: F.size(F.array_intersect(t, F.col("g3"))) / F.greatest(F.least(F.size(t), F.col("n3")), F.lit(1))))
     joined = joined.withColumn("overlap", F.coalesce(like, F.lit(0.0)))
     out = joined.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("n_words").cast("long").alias("n_words"), "predicted", "probability", "overlap", F.when(F.col("overlap") >= overlap, F.col("predicted")).otherwise(UNKNOWN).alias("family"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
     return out.drop("copy")
