@@ -10,15 +10,21 @@ A byte is removed if a ``length``-byte string that covers it starts anywhere els
    anchor.  Its Burrows-Wheeler transform is built column by column, one symbol per document a
    round: the round's symbols, in the order of the suffixes behind them, are the transform's new
    column; a stable sort by symbol gives the order of the suffixes one longer, and the common
-   prefixes of neighbours follow from range minima of the old ones.  Columns are written to and
-   read from a sequential external file.  Where the common prefix with a neighbour reaches
-   ``length``, the string that starts in that column is a repeat.
+   prefixes of neighbours follow from range minima of the old ones.  The columns of the input are
+   read from, and each round's transform and common prefixes are written to and read back from,
+   sequential external files.  Where the common prefix with a neighbour reaches ``length``, the
+   string that starts in that column is a repeat.
 4. Anchors with very many different contexts are dealt to blocks; strings that are single in
    their block are matched across blocks by 128-bit hashes, which aggregation pre-combines.
 
+Equal contexts are one document of the collection with a multiplicity, so copies cost no round.
+The external files are scratch of one task: nobody else reads them, and a task that is run again
+writes its own.  Long texts are looked at in overlapping windows, so that the arrays in memory
+do not grow with a text.
+
 Defined results: null text counts as empty; matches never cross rows; repeated rows are copies of
-each other; texts shorter than ``length`` stay whole; empty tables give empty results; other
-columns are ignored.
+each other; texts shorter than ``length`` stay whole; texts of any length are exact; empty tables
+give empty results; other columns are ignored, whatever their names; ties cannot arise.
 """
 
 from __future__ import annotations
@@ -39,9 +45,42 @@ BATCH = 32_768  #: contexts built side by side, of many anchors
 TEXT = 1 << 19
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, seed: int = 7) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64("doc_id", text, F.lit(7)).alias("dk"), text.alias("text"))
+    return docs.select("doc_id", F.xxhash64("doc_id", text, F.lit(seed)).alias("dk"), text.alias("text"))
+
+
+def _seed(docs: DataFrame) -> int:
+    """A seed under which different rows have different keys."""
+    seed = 7
+    while True:
+        text = F.coalesce("text", F.lit(""))
+        other = F.xxhash64(F.lit(seed + 1), text, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+        keys = _keyed(docs, seed).select("dk", other.alias("other"))
+        if keys.groupBy("dk").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo <> hi").isEmpty():
+            return seed
+        seed += 2
+
+
+def _pieces(texts: list[bytes], length: int):
+    """(first index, texts, offset, core): blocks of short texts, and windows of long ones with ``length`` bytes more on either side.
+
+    ``core`` is the range of offsets at which strings of a window start; None stands for all.
+    """
+    short: list[bytes] = []
+    at = 0
+    for i, t in enumerate([*texts, b""]):
+        last = i == len(texts)
+        if last or len(t) > 2 * TEXT:
+            for first, part in blocks(short, TEXT):
+                yield at + first, part, 0, None
+            short, at = [], i + 1
+            if not last:
+                for begin in range(0, max(1, len(t) - length + 1), TEXT):
+                    low = max(0, begin - length)
+                    yield i, [t[low : begin + TEXT + 2 * length]], low, (begin, begin + TEXT)
+        else:
+            short.append(t)
 
 
 def _occurrences(keyed: DataFrame, length: int, gram: int, full: bool) -> DataFrame:
@@ -52,17 +91,27 @@ def _occurrences(keyed: DataFrame, length: int, gram: int, full: bool) -> DataFr
 
         for b in batches:
             texts, dk = text_bytes(b.column(1)), b.column(0).to_numpy()
-            for at, part in blocks(texts, TEXT):
-                doc, pos, h = anchors(part, length, gram)
+            seen = (-1, -1)  # the last anchor of a long text: neighbouring windows may share it
+            for at, part, low, core in _pieces(texts, length):
+                size = np.array([len(t) for t in part], dtype=np.int64)
+                if core is None:
+                    doc, pos, h = anchors(part, length, gram)
+                else:
+                    inner = part[0][core[0] - low : core[1] - low + length - 1]
+                    doc, pos, h = anchors([inner], length, gram)
+                    pos = pos + core[0] - low
+                    keep = slice(int(len(pos) > 0 and (at, int(pos[0]) + low) == seen), None)
+                    doc, pos, h = doc[keep], pos[keep], h[keep]
+                    if len(pos):
+                        seen = (at, int(pos[-1]) + low)
                 if not full:
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
                     continue
-                size = np.array([len(t) for t in part], dtype=np.int64)
                 start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
                 sums = prefix_sums(np.frombuffer(b"\0".join(part) + b"\0", dtype=np.uint8))
-                left, right = np.minimum(pos, length - gram), np.minimum(size[doc] - pos, length)
+                left, right = np.minimum(pos, length - gram), np.minimum(size[doc] - pos, length)  # a window reaches as far as a context does
                 ctx = range_hashes(sums, start[doc] + pos - left, start[doc] + pos + right) + left.astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(mix64(ctx).view(np.int64)), pa.array(dk[at + doc]), pa.array(pos * 1024 + right)], names=["h", "context", "dk", "spot"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(mix64(ctx).view(np.int64)), pa.array(dk[at + doc]), pa.array((pos + low) * 1024 + right)], names=["h", "context", "dk", "spot"])
 
     return keyed.select("dk", "text").mapInArrow(run, "h long, context long, dk long, spot long" if full else "h long")
 
@@ -89,35 +138,68 @@ class Columns:
         return sym
 
 
-def construct(group: np.ndarray, rows: list[bytes], left: np.ndarray, length: int, gram: int):
-    """Yields (column, order, common prefix with the one before, transform column) for columns 0, -1, ...
+class Rounds:
+    """The transform and the common prefixes, a record a round, in two sequential external files."""
+
+    def __init__(self, m: int) -> None:
+        self.m, self.n = m, 0
+        self.transform, self.prefixes = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+
+    def write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
+        self.transform.write(bwt.astype("<u2").data)
+        self.prefixes.write(lcp.astype("<u2").data)
+        self.n += 1
+
+    def _read(self, file, k: int) -> np.ndarray:
+        file.seek(2 * self.m * k)
+        got = np.frombuffer(file.read(2 * self.m), dtype="<u2").astype(np.int64)
+        file.seek(0, 2)
+        return got
+
+    def bwt(self, k: int) -> np.ndarray:
+        return self._read(self.transform, k)
+
+    def lcp(self, k: int) -> np.ndarray:
+        return self._read(self.prefixes, k)
+
+    def close(self) -> None:
+        self.transform.close()
+        self.prefixes.close()
+
+
+def _by_symbol(group: np.ndarray, bwt: np.ndarray) -> np.ndarray:
+    """The stable order by (group, symbol): the last-to-first mapping of a round."""
+    key = group * 257 + bwt
+    fall = key[1:] < key[:-1]
+    perm = np.arange(len(key))
+    if fall.any():
+        messy = np.zeros(len(key), dtype=bool)
+        hit = np.unique(group[1:][fall])
+        messy = hit[np.minimum(np.searchsorted(hit, group), len(hit) - 1)] == group
+        at = np.flatnonzero(messy)
+        perm[at] = at[np.argsort(key[at], kind="stable")]
+    return perm
+
+
+def construct(group: np.ndarray, rows: list[bytes], left: np.ndarray, length: int, gram: int, kept: Rounds | None = None):
+    """Yields (column, order, common prefix with the one before) for columns 0, -1, ..., as each round's record is read back.
 
     ``group`` is ascending; suffixes are only compared within a group.  All suffixes of a round
-    start in the same column.
+    start in the same column, and a group keeps its place in the order.
     """
     wide = length - gram
     cols = Columns(rows, left, wide, length)
     m = len(rows)
+    files = kept or Rounds(m)
     order = np.arange(m)
     begin = np.concatenate(([True], group[1:] != group[:-1]))
-    lcp = np.zeros(m, dtype=np.int64)
-    for c in range(length - 1, -wide - 1, -1):
+    for k, c in enumerate(range(length - 1, -wide - 1, -1)):
+        lcp = files.lcp(k - 1) if k else np.zeros(m, dtype=np.int64)
         sym = cols.read(c)
         bwt = sym[order]
-        grp = group[order]
-        key = grp * 257 + bwt
-        fall = key[1:] < key[:-1]
-        if fall.any():
-            messy = np.zeros(m, dtype=bool)
-            hit = np.unique(grp[1:][fall])
-            messy = hit[np.minimum(np.searchsorted(hit, grp), len(hit) - 1)] == grp
-            at = np.flatnonzero(messy)
-            perm = np.arange(m)
-            perm[at] = at[np.argsort(key[at], kind="stable")]
-        else:
-            perm = np.arange(m)
-        key = key[perm]
-        same = np.concatenate(([False], key[1:] == key[:-1])) & (bwt[perm] > 0)
+        perm = _by_symbol(group, bwt)
+        moved = bwt[perm]
+        same = np.concatenate(([False], (moved[1:] == moved[:-1]) & (group[1:] == group[:-1]))) & (moved > 0)
         nxt = np.zeros(m, dtype=np.int64)
         before = np.concatenate(([0], perm[:-1]))
         close = same & (perm == before + 1)
@@ -126,24 +208,42 @@ def construct(group: np.ndarray, rows: list[bytes], left: np.ndarray, length: in
         if len(far):
             ends = np.stack((before[far] + 1, perm[far] + 1), 1).ravel()
             nxt[far] = np.minimum.reduceat(np.append(lcp, 0), ends)[::2] + 1
-        order, lcp = order[perm], nxt
-        lcp[begin] = 0
+        nxt[begin] = 0
+        order = order[perm]
+        files.write(bwt, nxt)
         if c <= 0:
-            yield c, order, lcp, bwt
+            yield c, order, files.lcp(k)
     cols.file.close()
+    if kept is None:
+        files.close()
+
+
+def rebuild(files: Rounds, group: np.ndarray) -> list[bytes]:
+    """Each context again, from the transform alone: follow the last-to-first mapping round by round."""
+    at = np.arange(files.m)
+    found = []
+    for k in range(files.n):
+        bwt = files.bwt(k)
+        found.append(bwt[at])
+        place = np.empty(files.m, dtype=np.int64)
+        place[_by_symbol(group, bwt)] = np.arange(files.m)
+        at = place[at]
+    grid = np.stack(found[::-1], 1)
+    return [bytes(int(x) - 1 for x in row if x) for row in grid]
 
 
 def repeats(group: np.ndarray, rows: list[bytes], left: np.ndarray, length: int, gram: int, hot: np.ndarray):
     """(row, column) of every repeated string, and for hot groups the (row, column, single) of one of each different string."""
     found, others = [], []
-    for c, order, lcp, _ in construct(group, rows, left, length, gram):
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    for c, order, lcp in construct(group, rows, left, length, gram):
         long = lcp >= length
         twice = long | np.append(long[1:], False)
         hit = order[twice]
         found.append(np.stack((hit, np.full(len(hit), c)), 1))
         if hot.any():
             heads = ~long & hot[order] & (left[order] >= -c)
-            heads &= np.array([len(rows[i]) for i in order]) - left[order] - c >= length
+            heads &= sizes[order] - left[order] - c >= length
             who = order[heads]
             others.append(np.stack((who, np.full(len(who), c), ~twice[heads]), 1))
     return np.concatenate(found), (np.concatenate(others) if others else np.zeros((0, 3), dtype=np.int64))
@@ -225,11 +325,13 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, length: int, gram: int) -> Da
     return both.mapInArrow(run, "h long, salt int, hot boolean, dk long, pos long, lft int, body binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """(dk, s, e): byte spans that repeated strings cover, overlapping and in no order."""
     spark = docs.sparkSession
-    keyed = _keyed(docs)
-    twice = _occurrences(keyed, length, gram, False).groupBy("h").count().filter("count > 1").select("h")
+    keyed = _keyed(docs, seed)
+    # saved, so that Spark sees plain tables on both sides of the join and can split a hot anchor's occurrences
+    twice = saved(_occurrences(keyed, length, gram, False).groupBy("h").count().filter("count > 1").select("h"))
+    release(spark)
     rows = saved(_occurrences(keyed, length, gram, True).join(twice, "h"))
     release(spark)
     contexts = rows.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("dk", "spot")).alias("one"))
@@ -252,9 +354,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, block:
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = BLOCK, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row."""
-    spans = repeated_spans(docs, length, gram, block)
+    seed = _seed(docs)
+    spans = repeated_spans(docs, length, gram, block, seed)
     lists = spans.groupBy("dk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    both = _keyed(docs).join(lists, "dk", "left").select("doc_id", "text", "spans")
+    both = _keyed(docs, seed).join(lists, "dk", "left").select("doc_id", "text", "spans")
 
     def run(batches):
         import pyarrow as pa

@@ -48,17 +48,41 @@ def test_repeats(spark, texts, block):
 
 
 def test_transform_is_the_collections_own():
-    """The rounds give the suffix order, common prefixes and preceding symbols of aligned documents."""
-    from tesserae.llm.column_bwt import construct
+    """The rounds give the suffix order and common prefixes of aligned documents, and the stored transform gives the documents back."""
+    from tesserae.llm import column_bwt as cb
 
     docs = [b"banana", b"bandna", b"cabana", b"banana", b"ananas"]
-    for c, order, lcp, bwt in construct(np.zeros(5, dtype=np.int64), docs, np.zeros(5, dtype=np.int64), 6, 6):
+    group = np.zeros(5, dtype=np.int64)
+    files = cb.Rounds(5)
+    rounds = 0
+    for c, order, lcp in cb.construct(group, docs, group, 6, 6, files):
         want = sorted(range(5), key=lambda i: (docs[i][c:], i))
         assert [docs[i][c:] for i in order] == [docs[i][c:] for i in want]
         for k in range(1, 5):
             a, b = docs[order[k - 1]][c:], docs[order[k]][c:]
             assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
-        assert sorted(bwt) == sorted(d[c] + 1 for d in docs)
+        assert sorted(files.bwt(5 - c)) == sorted(d[c] + 1 for d in docs)
+        rounds += 1
+    assert rounds == 1 and files.n == 6 and cb.rebuild(files, group) == docs
+
+
+def test_contexts_rebuilt_from_the_transform():
+    """Contexts of several anchors and uneven reach come back from the stored columns alone."""
+    from tesserae.llm import column_bwt as cb
+
+    rng = random.Random(6)
+    length, gram = 12, 4
+    rows, left, group = [], [], []
+    for g in range(5):
+        for _ in range(rng.randint(1, 7)):
+            lft, right = rng.randint(0, length - gram), rng.randint(gram, length)
+            rows.append(bytes(rng.choice(b"ab\x00\xff") for _ in range(lft + right)))
+            left.append(lft)
+            group.append(g)
+    files = cb.Rounds(len(rows))
+    group = np.array(group)
+    assert len(list(cb.construct(group, rows, np.array(left), length, gram, files))) == length - gram + 1
+    assert cb.rebuild(files, group) == rows
 
 
 def test_joins_within_chunks(spark):

@@ -173,3 +173,44 @@ def test_repeats_past_four_mebibytes(spark):
     rows = [(1, head + passage + tail), (2, letters(2000) + passage + letters(2000))]
     got = {r.doc_id: r.n_removed for r in column_bwt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 600, 2: 600}
+
+
+def test_repeats_of_very_long_texts(spark):
+    """Texts of 5 and 20 MB: repeats at both ends, within one text and across two, go; a text that occurs once loses nothing."""
+    import numpy as np
+
+    from tesserae.llm import column_bwt
+
+    rng = np.random.default_rng(16)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    five, twenty, unique = letters(5_000_000), letters(20_000_000), letters(6_000_000)
+    a, b, c = letters(400), letters(900), letters(300)
+    # other neighbours for each copy, so that none reaches further by chance
+    one = [a, "0" + five[:2_500_000] + "1", b, "2" + five[2_500_000:] + "3", c]
+    two = [c, "4" + twenty[:9_000_000] + "5", a, "6" + twenty[9_000_000:15_000_000] + "7", b, "8" + twenty[15_000_000:] + "9", b]
+    first, second = "".join(one), "".join(two)
+    rows = [(1, first), (2, second), (3, unique), (4, "x" + unique[:199])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in column_bwt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = {1: "".join(one[1::2]), 2: "".join(two[1::2]), 3: unique, 4: "x" + unique[:199]}
+    gone = {1: (1600, 3), 2: (2500, 4), 3: (0, 0), 4: (0, 0)}
+    assert got == {i: (len(t), *gone[i], hashlib.sha256(left[i].encode()).hexdigest()) for i, t in rows}
+
+
+def test_windows_see_what_whole_texts_see(spark, monkeypatch):
+    """Spans do not depend on the size of the windows; rows with one key get another seed."""
+    import random
+
+    from tesserae.llm import column_bwt
+
+    r = random.Random(2)
+    part = ["".join(r.choice("ab c") for _ in range(r.randint(150, 500))) for _ in range(12)]
+    rows = [(i, "".join(r.choice(part) for _ in range(r.randint(1, 40)))) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {tuple(x) for x in column_bwt.remove_repeats(df).collect()}
+    for size in (997, 3001):
+        monkeypatch.setattr(column_bwt, "TEXT", size)
+        assert {tuple(x) for x in column_bwt.remove_repeats(df).collect()} == want
+    assert column_bwt._seed(df) == 7
+    real = column_bwt._keyed
+    monkeypatch.setattr(column_bwt, "_keyed", lambda docs, seed=7: real(docs, seed).selectExpr("doc_id", f"dk % {3 if seed == 7 else 1 << 62} AS dk", "text"))
+    assert column_bwt._seed(df) == 9
