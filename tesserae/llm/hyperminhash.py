@@ -147,8 +147,12 @@ def _confirm(pairs: DataFrame, texts: DataFrame, num: int, den: int, slack: floa
     tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"), F.col("regs").alias("rb"))
     # a leader of many pairs meets them in several tasks
     busy = saved(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("salts")).filter("salts > 1"))
-    dealt = pairs.join(busy, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    ta = ta.join(busy, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    dealt, salts = pairs.withColumn("salt", F.lit(0)), F.coalesce("salts", F.lit(1))
+    if busy.isEmpty():
+        ta = ta.withColumn("salt", F.lit(0))
+    else:
+        dealt = pairs.join(busy, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")).drop("salts")
+        ta = ta.join(busy, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     both = dealt.join(tb, "b").join(ta, ["a", "salt"]).select("a", "b", "ta", "ra", "tb", "rb")
     floor = num / den - slack
 
@@ -232,10 +236,12 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, slack: float
     twice = saved(ids.join(split, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct())
     if not twice.isEmpty():
         labels = components(links.unionByName(twice))
-    discard(texts, shared_, sets, first, twice, links)  # what is left reads rows and labels only
-    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component"))
-    out = named.join(lowest, "label", "left")
+    # the smallest doc_id of a component, by its different sets; a component's rows are never gathered
+    lowest = saved(labels.join(sets.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component")))
+    named = labels.join(lowest, "label").select("node", "component")
+    named = saved(sets.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("component", "rep").alias("component")))
+    discard(texts, shared_, sets, first, twice, links, lowest, labels)  # what is left reads rows and named only
+    out = rows.join(named, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
