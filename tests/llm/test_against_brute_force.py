@@ -358,20 +358,70 @@ def test_reply_tree(spark):
     assert chat.format_paths(chat.paths(df, top=1)).count() == 2
 
 
-def test_pipeline_keeps_and_drops(spark, tmp_path):
+def test_pipeline_stages_restated(spark, tmp_path):
+    """Each stage on its predecessor's rows, against plain Python on the same rows."""
+    import sentencepiece
+
     import corpus_pipeline as c
+    from tesserae.llm import fm_quality, piece_match
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    n = docs.count()
-    for name, stage in c.STAGES[:-1]:
+    columns, items = docs.columns, [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    model = fm_quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    grams = lambda w: {tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))} if w else set()
+    spaced = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+
+    def quality(rows):
+        scores = fm_quality.sigmoid(fm_quality.raw_score(model, *fm_quality.featurise([(r["text"] or "").encode() for r in rows], [r["n_chars"] for r in rows])))
+        return [r for r, s in zip(rows, scores, strict=True) if s >= 0.3]
+
+    def lines(rows):
+        where = {}
+        for r in rows:
+            for x in (r["text"] or "").split("\n"):
+                where.setdefault(x.strip(" "), set()).add(r["source"])
+        out = []
+        for r in rows:
+            text = "\n".join(x for x in (r["text"] or "").split("\n") if not x.strip(" ") or len(where[x.strip(" ")]) < 10)
+            out.append(r | {"text": text, "n_chars": len(text)})
+        return out
+
+    def near(rows):
+        sets = {r["doc_id"]: grams(spaced(r["text"])) for r in rows}
+        root = {d: d for d in sets}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+        return [r for r in rows if find(r["doc_id"]) == r["doc_id"]]
+
+    def clean(rows):
+        goals = [g for g in (grams(words(t)) for t in items) if g]
+        return [r for r in rows if not any(5 * len(g & {t for n in {len(next(iter(g)))} for w in [words(r["text"])] for t in (tuple(w[i : i + n]) for i in range(len(w) - n + 1))}) >= 4 * len(g) for g in goals)]
+
+    plain = [r.asDict() for r in docs.collect()]
+    went = 0
+    for (name, stage), restated in zip(c.STAGES[:-1], (quality, lines, near, clean), strict=True):
         out = stage(spark, docs, sf)
         out.write.parquet(str(tmp_path / name))
-        kept = spark.read.parquet(str(tmp_path / name))
-        assert kept.columns == docs.columns and 0.7 * n < kept.count() <= docs.count()
-        docs = kept
-    tokens = c.STAGES[-1][1](spark, docs, sf)
-    assert tokens.filter("round_trip").count() == docs.count()
+        docs = spark.read.parquet(str(tmp_path / name))
+        before, plain = len(plain), restated(plain)
+        key = lambda r: tuple(str(r[x]) for x in columns)
+        assert docs.columns == columns and sorted(map(key, plain)) == sorted(key(r.asDict()) for r in docs.collect()), name
+        went += before - len(plain)
+    assert went > 0
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_match.DEFAULT_MODEL)
+    got = {r.doc_id: list(r.ids) for r in c.pieces(spark, docs, sf).collect()}
+    assert got == {r["doc_id"]: lib.encode(r["text"]) for r in plain}
 
 
 def test_pipeline_drops_near_copies_from_four_fifths(spark):

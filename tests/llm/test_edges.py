@@ -214,3 +214,58 @@ def test_windows_see_what_whole_texts_see(spark, monkeypatch):
     real = column_bwt._keyed
     monkeypatch.setattr(column_bwt, "_keyed", lambda docs, seed=7: real(docs, seed).selectExpr("doc_id", f"dk % {3 if seed == 7 else 1 << 62} AS dk", "text"))
     assert column_bwt._seed(df) == 9
+
+
+def test_pipeline_stages(spark, docs, empty, tmp_path):
+    """Each stage on nulls, empty and long texts, repeated rows, one id with two texts, clashing names and an empty table."""
+    import corpus_pipeline as c
+
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (99, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "Beta gamma, delta epsilon zeta ETA"), (2, None), (3, "")], "item_id long, text string")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    sf = str(tmp_path)
+    more = docs.unionByName(docs.filter("doc_id = 1").limit(1).selectExpr("7L AS doc_id", "'an earlier text of seven words or so' AS text", *[f"`{x}`" for x in docs.columns[2:]]))
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=str)
+    every = ids(more)
+    for name, stage in c.STAGES[:-1]:
+        got = stage(spark, more, sf)
+        assert got.columns == more.columns and stage(spark, empty, sf).count() == 0, name
+    assert ids(c.quality(spark, more, sf)) == every  # with one class learned, all are its
+    lined = c.lines(spark, more, sf)
+    assert ids(lined) == every and lined.filter("text is null or n_chars <> length(text)").count() == 0
+    near = c.near_duplicates(spark, more, sf)
+    assert ids(near) == sorted([1, 2, 3, 4, 6, 7, None], key=str)  # 5 copies 4; of 1 one row, of 7 one text
+    assert near.filter("doc_id = 7").first().text == "\n\n \n"
+    assert c.near_duplicates(spark, near, sf).count() == near.count()
+    assert ids(c.decontaminate(spark, more, sf)) == [x for x in every if x != 1]
+    tokens = c.pieces(spark, more, sf)
+    assert ids(tokens) == every and tokens.filter("not round_trip").count() == 0 and c.pieces(spark, empty, sf).count() == 0
+    assert "n_chars" not in c.lines(spark, more.drop("n_chars"), sf).columns
+
+
+def test_very_long_texts(spark):
+    """A text of a million words next to short ones: lines, near copies, tokens, decontamination, quality, personal data."""
+    import random
+
+    from tesserae.llm import decontam, fm_quality, hyperminhash, line_dedup, piece_match, pii
+
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(5000)]
+    long = "\n".join(" ".join(r.choice(words) for _ in range(1000)) for _ in range(1000))
+    near = long + " one more word or two"
+    rows = [(1, long, "a", 1), (2, near, "b", 1), (3, "short text of some seven words here", "c", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    by = {x.doc_id: x for x in hyperminhash.near_duplicates(df).collect()}
+    assert (by[1].component_id, by[2].component_id, by[3].component_id) == (1, 1, 3)
+    grams = lambda t: len({tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)})
+    assert by[1].n_shingles == grams(long)
+    cleaned = {x.doc_id: x.n_removed for x in line_dedup.clean(df, threshold=2).collect()}
+    assert cleaned == {1: 999, 2: 999, 3: 0} or cleaned == {1: 1000, 2: 999, 3: 0}
+    item = spark.createDataFrame([(1, " ".join(long.split()[-40:])), (2, " ".join(words[:30]))], "item_id long, text string")
+    assert sorted((x.doc_id, x.item_id) for x in decontam.find(df, item).collect()) == [(1, 1), (2, 1)]
+    assert all(x.round_trip for x in piece_match.tokenize(df).collect())
+    model = fm_quality.train(df, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))
+    assert fm_quality.score(df, model).count() == 3
+    told = pii.find([long + " write x@y.zz\n" + " ".join(["7"] * 300_000) + " call (617) 555-0133"])
+    assert [k for k, *_ in told[0][0]] == [0] and (3, "(617) 555-0133") in [(k, (long + " write x@y.zz\n" + " ".join(["7"] * 300_000) + " call (617) 555-0133")[s:e]) for k, s, e in told[0][1]]
