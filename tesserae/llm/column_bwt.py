@@ -121,14 +121,17 @@ class Columns:
 
     def __init__(self, rows: list[bytes], left: np.ndarray, wide_left: int, wide_right: int) -> None:
         self.m, self.first = len(rows), -wide_left
-        grid = np.zeros((self.m, wide_left + wide_right), dtype=np.uint8)
+        wide = wide_left + wide_right
+        grid = np.zeros((wide, self.m), dtype=np.uint8)
         size = np.array([len(r) for r in rows], dtype=np.int64)
-        flat = np.frombuffer(b"".join(rows), dtype=np.uint8)
-        inner = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        grid.ravel()[np.repeat(np.arange(self.m) * grid.shape[1] + wide_left - left, size) + inner] = flat
+        for at in range(0, self.m, 2048):  # few at a time: an index is eight times a byte
+            n = size[at : at + 2048]
+            flat = np.frombuffer(b"".join(rows[at : at + 2048]), dtype=np.uint8)
+            inner = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(wide_left - left[at : at + 2048], n)
+            grid[inner, np.repeat(np.arange(at, at + len(n)), n)] = flat
         self.left, self.right = left, size - left
         self.file = tempfile.TemporaryFile()
-        self.file.write(np.ascontiguousarray(grid.T).data)
+        self.file.write(grid.data)
 
     def read(self, c: int) -> np.ndarray:
         """Symbols of column c: 0 outside a context, else the byte plus one."""
@@ -340,6 +343,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, block:
     pos, right = F.floor(F.col("spot") / 1024), F.col("spot") % 1024
     whole = saved(copied.select("dk", F.greatest(pos - (length - gram), F.lit(0)).alias("s"), (pos + right).alias("e")))
     mixed = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("h", "kinds")
+    mixed = saved(mixed)  # as above: a plain table on either side
     wanted = contexts.join(mixed, "h").select("h", F.pmod(F.xxhash64("context"), F.ceil(F.col("kinds") / block)).cast("int").alias("salt"), (F.col("kinds") > block).alias("hot"), "dk", "spot")
     wanted = saved(wanted)
     release(spark)
