@@ -78,6 +78,22 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_bwt.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+#: Every 200-byte string of every text by its digest; a digest found twice covers its bytes.
+OP1_SQL = """
+WITH h AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT k, p, substr(x, 1024 * p + 1, 1422) AS y FROM (SELECT k, x, unnest(range(length(x) // 1024 + 1)) AS p FROM h)),
+s AS MATERIALIZED (SELECT k, 512 * p + j AS pos, md5_number(substr(y, 2 * j + 1, 400)) AS g FROM (SELECT k, p, y, unnest(range(least(512, length(y) // 2 - 199))) AS j FROM c WHERE length(y) >= 400)),
+b AS (SELECT k, pos, lag(pos) OVER (PARTITION BY k ORDER BY pos) AS back FROM s JOIN (SELECT g FROM s GROUP BY g HAVING count(*) > 1) USING (g)),
+o AS (SELECT k, pos, sum(CASE WHEN back IS NULL OR pos > back + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos) AS run FROM b),
+r AS (SELECT k, run, min(pos) AS lo, max(pos) + 200 AS hi FROM o GROUP BY k, run),
+e AS (SELECT k, lo, hi, coalesce(lag(hi) OVER (PARTITION BY k ORDER BY lo), 0) AS free FROM r),
+w AS (SELECT k, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS tail, string_agg(substr(x, 2 * free + 1, 2 * (lo - free)), '' ORDER BY lo) AS front FROM e JOIN h USING (k) GROUP BY k)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN w USING (k)
+"""
+
+
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
@@ -146,4 +162,4 @@ FROM s JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.8)
 """
 
 QUERIES = {f.__name__: f for f in (op1_repeats, op2_lines, op3_licenses, op4_vptree, op5_pii, op6_quality, op7_chat, op8_minhash, op9_pieces, op10_decontam)}
-ORACLE: dict[str, str] = {"op2_lines": OP2_SQL, "op4_vptree": OP4_SQL, "op7_chat": OP7_SQL, "op8_minhash": OP8_SQL, "op10_decontam": OP10_SQL}
+ORACLE: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_lines": OP2_SQL, "op4_vptree": OP4_SQL, "op7_chat": OP7_SQL, "op8_minhash": OP8_SQL, "op10_decontam": OP10_SQL}
