@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -95,6 +95,19 @@ class Vocabulary:
             raw[unk] = " ⁇ ".encode()
         self.raw = raw
 
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Characters of each piece that may occur in a text."""
+        return np.array([len(self.pieces[i]) for i in self.ids], dtype=np.int64)
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        """Those pieces as rows of code points, with zeros up to a multiple of four."""
+        out = np.zeros((len(self.ids), -(-self.longest // 4) * 4), dtype=np.uint32)
+        for row, i in zip(out, self.ids, strict=True):
+            row[: len(self.pieces[i])] = [ord(c) for c in self.pieces[i]]
+        return out
+
     @classmethod
     @lru_cache(maxsize=4)
     def load(cls, model_file: str) -> Vocabulary:
@@ -137,29 +150,46 @@ def _bound(keys: list[np.ndarray], want: list[np.ndarray], masks: list[np.ndarra
         hi = np.where(live & ~go, mid, hi)
 
 
+def _dense(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank from 1) of the values; equal ones share a rank."""
+    order = np.argsort(x)
+    ranked = x[order]
+    rank = np.empty(len(x), dtype=np.uint64)
+    rank[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1]))
+    return order, rank
+
+
+def _suffix_order(first: np.ndarray, longest: int) -> np.ndarray:
+    """Positions in order of what follows them, from keys of four characters by doubling to ``longest`` at least."""
+    order, rank = _dense(first)
+    seen, n = 4, len(first)
+    while seen < longest:
+        later = np.zeros(n, dtype=np.uint64)
+        later[: max(n - seen, 0)] = rank[seen:]
+        order, rank = _dense(rank * np.uint64(n + 1) + later)
+        seen *= 2
+    return order
+
+
 def _edges(chars: np.ndarray, v: Vocabulary) -> np.ndarray:
     """table[length, position] = piece id or -1, from the occurrence ranges of every piece in the suffix array."""
     alphabet, small = np.unique(chars, return_inverse=True)  # 0, the gap between units, comes first
     keys = _keys(small, v.longest)
-    order = np.lexsort(keys[::-1])
+    order = _suffix_order(keys[0], v.longest)
     sorted_keys = [k[order] for k in keys]
-    known = {int(c): i for i, c in enumerate(alphabet)}
-    coded = [(i, [known.get(ord(c), -1) for c in v.pieces[i]]) for i in v.ids if all(ord(c) in known for c in v.pieces[i])]
+    spot = np.minimum(np.searchsorted(alphabet, v.codes), len(alphabet) - 1)
+    known = np.flatnonzero((alphabet[spot] == v.codes).all(axis=1))
     table = np.full((v.longest + 1, len(chars)), -1, dtype=np.int32)
-    if not coded:
+    if not len(known):
         return table
-    wide = np.zeros((len(coded), len(keys) * 4), dtype=np.uint64)
-    full = np.zeros_like(wide)
-    for r, (_, c) in enumerate(coded):
-        wide[r, : len(c)] = c
-        full[r, : len(c)] = 0xFFFF
+    sizes, wide = v.sizes[known], spot[known].astype(np.uint64)
+    full = np.where(np.arange(wide.shape[1]) < sizes[:, None], np.uint64(0xFFFF), np.uint64(0))
     pack = lambda x, k: (x[:, 4 * k] << np.uint64(48)) | (x[:, 4 * k + 1] << np.uint64(32)) | (x[:, 4 * k + 2] << np.uint64(16)) | x[:, 4 * k + 3]
     want, masks = [pack(wide, k) for k in range(len(keys))], [pack(full, k) for k in range(len(keys))]
     lo, hi = _bound(sorted_keys, want, masks, False), _bound(sorted_keys, want, masks, True)
     count = hi - lo
     at = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    ids, sizes = np.array([i for i, _ in coded], dtype=np.int32), np.array([len(c) for _, c in coded])
-    table[np.repeat(sizes, count), order[at]] = np.repeat(ids, count)
+    table[np.repeat(sizes, count), order[at]] = np.repeat(v.ids[known], count)
     return table
 
 
