@@ -21,12 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Rows of a sketch or candidate table that may be broadcast (16 to 40 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes of a sketch, candidate or item table that may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 64  #: what a row of a broadcast table takes beside its strings
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bytes(df: DataFrame) -> int:
+    """Bytes of a saved table once broadcast, an upper bound: a row's fixed part and all its values as strings."""
+    strings = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in df.columns), F.lit(ROW_BYTES))
+    return df.agg(F.sum(strings)).first()[0] or 0
+
+
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def words(text: Column) -> Column:
@@ -56,25 +63,24 @@ def find(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8)
     sized = saved(sized.withColumn("part", F.floor(F.log2("n_item"))).withColumn("hashes", F.array_sort(F.transform("grams", lambda g: F.xxhash64(g)))))
     publish = sized.groupBy("part").agg(F.max(F.col("n_item") - F.col("need") + 1).alias("k"))
     sketch = saved(sized.join(publish, "part").select("item_key", "width", F.explode(F.slice("hashes", F.lit(1), F.col("k"))).alias("gram_hash")))
-    n_sketch = sketch.count()
+    sketch_size = _bytes(sketch)
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
     found = None
     for k in widths:
         hashed = texts.select("doc_id", F.explode(_grams("w", k, lambda ws: F.xxhash64(F.concat_ws(" ", *ws)))).alias("gram_hash"))
-        hit = hashed.join(_small(sketch.filter(F.col("width") == k).select("item_key", "gram_hash"), n_sketch), "gram_hash").select("doc_id", "item_key").distinct()
+        hit = hashed.join(_small(sketch.filter(F.col("width") == k).select("item_key", "gram_hash"), sketch_size), "gram_hash").select("doc_id", "item_key").distinct()
         found = hit if found is None else found.unionByName(hit)
     pairs = saved(found)
     suspects = pairs.select("doc_id").distinct()
-    n_pairs = pairs.count()
-    ids = _small(suspects, n_pairs)
+    ids = _small(suspects, _bytes(pairs))
     again = docs.alias("d").join(ids.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     again = again.select("doc_id", F.xxhash64("text").alias("row_key"), words(F.col("text")).alias("w"))
     goal = sized.select("item_key", "item_id", "width", "n_item", "need", F.explode("grams").alias("gram"))
-    n_goal = goal.count()
+    goal_size = _bytes(goal)
     shared = None
     for k in widths:
         own = again.select("doc_id", "row_key", F.explode(F.array_distinct(_grams("w", k, lambda ws: F.concat_ws(" ", *ws)))).alias("gram"))
-        part = own.join(_small(goal.filter(F.col("width") == k), n_goal), "gram").select("doc_id", "row_key", "item_key", "item_id", "n_item", "need", "gram")
+        part = own.join(_small(goal.filter(F.col("width") == k), goal_size), "gram").select("doc_id", "row_key", "item_key", "item_id", "n_item", "need", "gram")
         shared = part if shared is None else shared.unionByName(part)
     count = shared.groupBy("doc_id", "row_key", "item_key", "item_id", "n_item", "need").agg(F.countDistinct("gram").alias("n_shared")).filter("n_shared >= need")
     best = count.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("b"))

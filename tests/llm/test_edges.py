@@ -106,6 +106,20 @@ def test_pieces(docs, empty):
     assert next(r for r in got if r.doc_id == 3).n_tokens == 0
 
 
+def test_decontam_joins_the_same_without_broadcast(spark, monkeypatch):
+    """A table is measured in bytes, strings included; above the limit the shuffled join finds the same rows."""
+    from tesserae.llm import decontam
+
+    items = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a" * 5000), (3, "one two three four five six")], "item_id long, text string")
+    assert decontam._bytes(items) >= 5000 + 3 * decontam.ROW_BYTES and decontam._bytes(items.limit(0)) == 0
+    rows = spark.createDataFrame([(1, "x a b c d e f g h y"), (2, "a" * 5000), (3, None), (4, "one two three four five seven")], "doc_id long, text string")
+    both = []
+    for limit in (decontam.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
+        both.append(sorted(tuple(r) for r in decontam.find(rows, items).collect()))
+    assert both[0] == both[1] and [x[:2] for x in both[0]] == [(1, 1), (2, 2)]
+
+
 def test_decontam(spark, docs, empty):
     from tesserae.llm import decontam
 
