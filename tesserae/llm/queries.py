@@ -161,5 +161,42 @@ SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGIN
 FROM s JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.8)
 """
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_lines, op3_licenses, op4_vptree, op5_pii, op6_quality, op7_chat, op8_minhash, op9_pieces, op10_decontam)}
-ORACLE: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_lines": OP2_SQL, "op4_vptree": OP4_SQL, "op7_chat": OP7_SQL, "op8_minhash": OP8_SQL, "op10_decontam": OP10_SQL}
+def op11_drake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import drake
+
+    return drake.digest(*drake.cluster(drake.whole(table(spark, sf_dir, "embeddings")), 40, 5))
+
+
+def _op11_sql(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """The rounds one after the other, every vector against every centroid."""
+    square = f"list_sum(list_transform(range(1, {dim + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    out = f"""
+WITH p AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x) OR abs(256 * CAST(x AS DOUBLE)) > {1 << 27})) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS j, v AS c FROM p QUALIFY j < {k}),"""
+    for n in range(rounds + 1):
+        out += f"""
+a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': {square}, 'j': j}}) AS m FROM p, c{n} GROUP BY r),"""
+        if n < rounds:
+            out += f"""
+s{n} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT m.j AS j, unnest(v) AS x, unnest(range({dim})) AS i FROM a{n}) GROUP BY j, i),
+c{n + 1} AS MATERIALIZED (SELECT j, coalesce(f, c) AS c FROM c{n} LEFT JOIN (SELECT j, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY i) AS f FROM s{n} GROUP BY j) USING (j)),"""
+    return out + f"""
+w AS (SELECT m.j AS j, sum(m.d) AS inertia FROM a{rounds} GROUP BY m.j)
+SELECT vec_id, CAST(m.j AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(w.inertia AS BIGINT) AS cluster_inertia, CAST((SELECT sum(inertia) FROM w) AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN w ON w.j = m.j JOIN c{rounds} ON c{rounds}.j = m.j
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op13_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ecoc_lang
+
+    docs = table(spark, sf_dir, "documents")
+    return ecoc_lang.predict(docs, ecoc_lang.train(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_lines, op3_licenses, op4_vptree, op5_pii, op6_quality, op7_chat, op8_minhash, op9_pieces, op10_decontam, op11_drake, op13_lang)}
+ORACLE: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_lines": OP2_SQL, "op4_vptree": OP4_SQL, "op7_chat": OP7_SQL, "op8_minhash": OP8_SQL, "op10_decontam": OP10_SQL, "op11_drake": OP11_SQL}
