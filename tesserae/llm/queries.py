@@ -191,6 +191,27 @@ FROM a{rounds} JOIN w ON w.j = m.j JOIN c{rounds} ON c{rounds}.j = m.j
 OP11_SQL = _op11_sql()
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import idistance
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    vectors = idistance.whole(rows)
+    return idistance.hard_negatives(vectors, vectors.filter("vec_id % 100 = 0").select("vec_id"))
+
+
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, m.v AS v, m.label AS label FROM (SELECT vec_id, min({'v': list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)), 'label': label}) AS m FROM e GROUP BY vec_id)),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, CAST(positive_score AS BIGINT) AS positive_score, CAST(negative_score AS BIGINT) AS negative_score FROM n WHERE rank <= 10
+"""
+
+
 def op13_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ecoc_lang
 
@@ -198,5 +219,5 @@ def op13_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ecoc_lang.predict(docs, ecoc_lang.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_lines, op3_licenses, op4_vptree, op5_pii, op6_quality, op7_chat, op8_minhash, op9_pieces, op10_decontam, op11_drake, op13_lang)}
-ORACLE: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_lines": OP2_SQL, "op4_vptree": OP4_SQL, "op7_chat": OP7_SQL, "op8_minhash": OP8_SQL, "op10_decontam": OP10_SQL, "op11_drake": OP11_SQL}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_lines, op3_licenses, op4_vptree, op5_pii, op6_quality, op7_chat, op8_minhash, op9_pieces, op10_decontam, op11_drake, op12_negatives, op13_lang)}
+ORACLE: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_lines": OP2_SQL, "op4_vptree": OP4_SQL, "op7_chat": OP7_SQL, "op8_minhash": OP8_SQL, "op10_decontam": OP10_SQL, "op11_drake": OP11_SQL, "op12_negatives": OP12_SQL}
