@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import ROUND_FLOOR, Decimal
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.perm import format_rank, identity, is_valid, kendall_tau
 from ..functions.text import clamp01, cost_usd, hard_score
+from ..sources.tables import saved
 
 
 def score_case(pred: Column, truth: Column, no_ordering: Column) -> tuple[Column, Column, Column]:
@@ -61,28 +65,46 @@ def expand(records: DataFrame, oversample: int = 1, most: int = 5) -> DataFrame:
     return base.unionByName(again)
 
 
-def budget_plan(calls: DataFrame, max_cost_krw: float, krw_per_usd: float = 1400.0, run: str = "run") -> DataFrame:
+def budget_plan(calls: DataFrame, max_cost_krw: float, krw_per_usd: float = 1400.0, run: str = "run", slice_rows: int = 100_000) -> DataFrame:
     """(run, pos, usd, status) of calls (run, pos, tokens_in, tokens_out): taken in order of pos, a call that would
-    pass the budget is skipped and later, cheaper ones may still fit.  The fold is sequential per run by definition;
-    it reads a run's calls in order and keeps only the sum.  Runs are independent."""
-    usd = cost_usd(F.col("tokens_in"), F.col("tokens_out"))
-    rows = calls.select(run, "pos", usd.alias("usd")).repartition(run).sortWithinPartitions(run, "pos", "usd")
-
-    def fold(batches):
-        import pyarrow as pa
-
-        now, spent = object(), 0.0
-        for b in batches:
-            status = []
-            for r, cost in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if r != now:
-                    now, spent = r, 0.0
-                fits = cost is not None and (spent + cost) * krw_per_usd <= max_cost_krw
-                spent += cost if fits else 0.0
-                status.append("called" if fits else "skipped_budget")
-            yield b.append_column("status", pa.array(status, pa.string()))
-
-    return rows.mapInArrow(fold, rows.withColumn("status", F.lit("")).schema)
+    pass the budget is skipped and later, cheaper ones may still fit.
+
+    The fold is found by prefix sums.  Of a run's open calls only those that cost no more than what is left count; they
+    are called up to the first whose sum passes it, which is skipped, and the rest is open with what is then left.  Sums over
+    slices of about ``slice_rows`` calls find the slice of that call, and only there rows are summed one by one, so a run
+    of any length is spread over all tasks.  What is left after the first round is under the greatest cost and every round spends
+    the least cost or more: there are no more rounds than two and their ratio.  Costs are summed as decimals, exactly.
+    Calls at equal pos are in order of cost; one without a cost is skipped; one that costs nothing is called.
+    """
+    limit = (Decimal(repr(float(max_cost_krw))) / Decimal(repr(float(krw_per_usd)))).quantize(Decimal(10) ** -15, ROUND_FLOOR)
+    money, usd = "decimal(38,15)", cost_usd(F.col("tokens_in"), F.col("tokens_out"))
+    x = calls.select(F.col(run).alias("run"), "pos", usd.alias("usd"))
+    slices = max(1, -(-x.count() // slice_rows))
+    rows = x.repartitionByRange(slices, "run", "pos", "usd").sortWithinPartitions("run", "pos", "usd")
+    rows = saved(rows.withColumn("k", F.monotonically_increasing_id()).withColumn("cost", F.col("usd").cast(money)))
+    left = saved(rows.select("run").distinct().select("run", F.lit(-1).cast("long").alias("after"), F.lit(limit).cast(money).alias("left")))
+    open_, rounds = rows.filter("cost > 0").select("run", "k", "cost"), []
+    while True:
+        of = left.select(F.col("run").alias("own"), "after", "left")
+        now = saved(open_.join(of, F.col("run").eqNullSafe(F.col("own"))).filter("k > after and cost <= left").select("run", "k", "cost", "after", "left"))
+        part = F.shiftright("k", 33).alias("part")
+        sums = now.groupBy("run", part).agg(F.sum("cost").cast(money).alias("cost"), F.first("left").alias("left"))
+        ahead = F.coalesce(F.sum("cost").over(Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(money)).cast(money)
+        crossing = sums.withColumn("ahead", ahead).filter("ahead <= left and ahead + cost > left").select(F.col("run").alias("own"), F.col("part").alias("of_part"), "ahead")  # one a run
+        inside = now.withColumn("part", part).join(crossing, F.col("run").eqNullSafe(F.col("own")) & (F.col("part") == F.col("of_part")))
+        total = (F.col("ahead") + F.sum("cost").over(Window.partitionBy("run").orderBy("k"))).cast(money)
+        first = inside.withColumn("total", total).filter("total > left").groupBy("run").agg(F.min(F.struct("k", "total", "cost")).alias("m"), F.first("after").alias("after"), F.first("left").alias("left"))
+        cut = saved(first.select("run", "after", F.col("m.k").alias("until"), "left", (F.col("left") - (F.col("m.total") - F.col("m.cost"))).cast(money).alias("rest")))
+        # runs without such a call are done: all that fit are called
+        done = left.join(cut.select(F.col("run").alias("own")), F.col("run").eqNullSafe(F.col("own")), "left_anti").select("run", "after", F.lit((1 << 63) - 1).alias("until"), "left")
+        rounds.append(saved(done.unionByName(cut.select("run", "after", "until", "left"))))
+        if cut.isEmpty():
+            break
+        left, open_ = cut.select("run", F.col("until").alias("after"), F.col("rest").alias("left")), now.select("run", "k", "cost")
+    spans = reduce(DataFrame.unionByName, rounds).select(F.col("run").alias("own"), "after", "until", "left")
+    hit = rows.join(spans, F.col("run").eqNullSafe(F.col("own")) & (F.col("k") > F.col("after")) & (F.col("k") <= F.col("until")))
+    called = (F.col("cost") <= F.col("left")) & ((F.col("k") < F.col("until")) | (F.col("cost") == 0))
+    return hit.select(F.col("run").alias(run), "pos", "usd", F.when(called, "called").otherwise("skipped_budget").alias("status"))
 
 
 def sample_rows(df: DataFrame, n: int, order: Column, key: str = "id") -> DataFrame:
