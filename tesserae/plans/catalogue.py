@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import perm as P
 from ..functions import text as X
-from ..operators import calibrate, classify, hardcases, image, loglik, metrics, similarity, votes
+from ..operators import calibrate, classify, hardcases, image, loglik, metrics, orderhead, similarity, votes
 from ..sources import tables
 from . import fixtures as fx
 
@@ -422,6 +422,19 @@ def perm_accuracy(s, d):
     return calibrate.permutation_accuracy(_perm_rows(s, d)).select(F.round("perm_acc", 6).alias("perm_acc"))
 
 
+@query
+def ordering_head(s, d):
+    """A note of every epoch of training the head on the samples' embeddings; val is three ids in ten."""
+    e = fx.embeddings(s, d)
+    frames, events = [F.col(f"e{i}") for i in range(4)], [F.col(f"e{i}") for i in range(4, 7)]
+    scalars = [[*A.per_frame_similarity(frames, i), *A.event_match(frames[i], events)[1:]] for i in range(4)]
+    fold = F.when(F.col("id") % 10 < 3, "val").otherwise("train")
+    rows = e.select("id", fold.alias("fold"), orderhead.inputs(frames, events, F.col("e7"), scalars).alias("inputs"), F.expr(fx.TRUTH_AT).cast("int").alias("target"), F.when(F.col("id") % 11 == 0, 0.5).otherwise(1.0).alias("weight"))
+    notes = orderhead.train(rows).history
+    out = s.createDataFrame([(n["epoch"], n["loss"], n["em"], n["tau"], n["perm_acc"], n["best"]) for n in notes], "epoch long, loss double, val_em double, tau double, perm_acc double, best boolean")
+    return out.select("epoch", F.round("loss", 6).alias("loss"), F.round("val_em", 6).alias("val_em"), "tau", F.round("perm_acc", 6).alias("perm_acc"), "best")
+
+
 @query
 def embedding_scalars(s, d):
     e = fx.embeddings(s, d)
