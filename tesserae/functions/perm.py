@@ -13,7 +13,12 @@ PERMS = [list(p) for p in itertools.permutations(range(1, N + 1))]  # lexicograp
 
 
 def ints(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("int") for v in values])
+    return F.expr(f"array({', '.join(map(str, values))})")  # one call to the JVM, however many values
+
+
+def _ranks() -> Column:
+    """The 24 ranks as one literal."""
+    return F.expr(f"array({', '.join('array(' + ', '.join(map(str, p)) + ')' for p in PERMS)})")
 
 
 def identity() -> Column:
@@ -22,18 +27,18 @@ def identity() -> Column:
 
 def perm_dim(spark: SparkSession) -> DataFrame:
     """(idx, rank, key): the 24 ranks in lexicographic order."""
-    table = F.array(*[ints(p) for p in PERMS])
+    table = _ranks()
     return spark.range(len(PERMS)).select(F.col("id").alias("idx"), F.get(table, F.col("id").cast("int")).alias("rank")).withColumn("key", format_rank(F.col("rank")))
 
 
 def rank_at(idx: Column) -> Column:
     """The rank of a lexicographic index."""
-    return F.get(F.array(*[ints(p) for p in PERMS]), idx.cast("int"))
+    return F.get(_ranks(), idx.cast("int"))
 
 
 def index_of(rank: Column) -> Column:
     """The lexicographic index of a rank, -1 if it is none."""
-    return (F.array_position(F.array(*[ints(p) for p in PERMS]), rank) - 1).cast("int")
+    return (F.array_position(_ranks(), rank) - 1).cast("int")
 
 
 def is_valid(p: Column) -> Column:

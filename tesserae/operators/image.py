@@ -34,7 +34,11 @@ def area_means(gray: np.ndarray, height: int, width: int) -> np.ndarray:
 def phash_array(gray: np.ndarray) -> int:
     """64-bit perceptual hash: signs of the low 8 x 8 cosine terms of a 32 x 32 reduction against their median."""
     m = _dct(32)
-    low = (m @ area_means(gray.astype(float), 32, 32) @ m.T)[:8, :8]
+    return hash_of((m @ area_means(gray.astype(float), 32, 32) @ m.T)[:8, :8])
+
+
+def hash_of(low: np.ndarray) -> int:
+    """The 64 bits of the low cosine terms: which are above their median, as a signed number."""
     bits = (low > np.median(low)).ravel()
     value = int("".join("1" if b else "0" for b in bits), 2)
     return value - (1 << 64) if value >= 1 << 63 else value

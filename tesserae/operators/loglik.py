@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.perm import PERMS, identity, ints
+from ..functions.perm import PERMS, identity, rank_at
 from ..sources.tables import saved
 from .votes import consensus
 
@@ -33,15 +33,11 @@ def from_long(rows: DataFrame, length_norm: bool = True) -> DataFrame:
 
 def best_key(scores: Column, ban_identity: bool = False, allowed: Column | None = None) -> tuple[Column, Column]:
     """(index, score) of the greatest score; ties go to the smaller rank.  A restriction or a ban that leaves nothing is dropped."""
-    all_ = F.transform(scores, lambda s, i: F.struct((-s).alias("m"), i.alias("i")))
-    kept = F.filter(all_, lambda x: x["m"].isNotNull())
-    if allowed is not None:
-        some = F.filter(kept, lambda x: F.coalesce(F.get(allowed, x["i"]), F.lit(False)))
-        kept = F.when(F.size(some) > 0, some).otherwise(kept)
-    if ban_identity:
-        some2 = F.filter(kept, lambda x: x["i"] != 0)
-        kept = F.when(F.size(some2) > 0, some2).otherwise(kept)
-    top = F.array_min(kept)
+    # the least of (not allowed, banned, -score, rank): a restriction or ban comes first, and decides nothing where it holds for all
+    no = F.lit(False)
+    shut = (lambda i: ~F.coalesce(F.get(allowed, i), no)) if allowed is not None else (lambda i: no)
+    all_ = F.transform(scores, lambda s, i: F.struct(shut(i).alias("shut"), (i == 0 if ban_identity else no).alias("ban"), (-s).alias("m"), i.alias("i")))
+    top = F.array_min(F.filter(all_, lambda x: x["m"].isNotNull()))
     return top["i"], -top["m"]
 
 
@@ -52,7 +48,7 @@ def decide_ll(ll: DataFrame, margin: float = 0.0, ban_identity: bool = False) ->
 
 
 def _rank(at: Column) -> Column:
-    return F.get(F.array(*[ints(p) for p in PERMS]), at)
+    return rank_at(at)
 
 
 POLICIES = ("vote", "ll", "h1", "h2")
@@ -108,8 +104,8 @@ def sweep_policies(votes: DataFrame, ll: DataFrame, truth: DataFrame, margins: l
     voted = F.transform("counts", lambda c: c > 0)
     x = x.withColumn("agreed", consensus(F.col("counts"))).withColumn("vote_hit", (F.col("rank") == F.col("truth")).cast("int"))
     x = x.withColumn("id_hit", (F.col("truth") == identity()).cast("int"))
-    # a plain sum, so that the lead is computed once and not for each margin
-    passed = lambda lead: sum((F.coalesce(F.col(lead) > m, F.lit(False)).cast("int") for m in grid), F.lit(0))
+    marks = F.expr(f"array({', '.join(f'{m!r}D' for m in map(float, grid))})")
+    passed = lambda lead: F.size(F.filter(marks, lambda m: F.coalesce(F.col(lead) > m, F.lit(False))))
     sides = {}
     for ban in (False, True):
         for side, allowed in (("all", None), ("voted", voted)):
@@ -126,11 +122,10 @@ def sweep_policies(votes: DataFrame, ll: DataFrame, truth: DataFrame, margins: l
     counted = x.select("*", *[passed(f"{n}.lead").alias(f"passed_{n}") for n in sides])
     config = ["policy", "k", "ban_identity"]
     counts = counted.select(F.inline(F.array(*cells))).groupBy(*config, "passed").agg(F.count(F.lit(1)).alias("n"), F.sum("under").alias("under"), F.sum("over").alias("over"))
-    per = counts.groupBy(*config).agg(F.collect_list(F.struct("passed", "n", "under", "over")).alias("cs"))  # a row for each number of margins at most
-    total = lambda take: F.aggregate("cs", F.lit(0).cast("long"), lambda s, c: s + take(c))
-    hits = [total(lambda c, j=j: F.when(c["passed"] > j, c["over"]).otherwise(c["under"])) for j in range(len(grid))]
-    ems = F.array(*[F.struct(F.lit(m).alias("margin"), (h / total(lambda c: c["n"])).alias("em")) for m, h in zip(grid, hits, strict=True)])
-    curve = per.select(*config, F.inline(ems))
+    # as many rows a configuration as there are margins, times as many: nothing that grows with the samples
+    lines = counts.sparkSession.createDataFrame([(j, m) for j, m in enumerate(grid)], "j int, margin double")
+    hits = F.sum(F.when(F.col("passed") > F.col("j"), F.col("over")).otherwise(F.col("under")))
+    curve = counts.crossJoin(F.broadcast(lines)).groupBy(*config, "margin").agg((hits / F.sum("n")).alias("em"))
     first = curve.groupBy(*config).agg(F.max(F.struct("em", (-F.col("margin")).alias("low"))).alias("b"))
     first = first.select(*config, (-F.col("b.low")).alias("margin"), F.col("b.em").alias("em"))
     none = lambda kind: F.lit(None).cast(kind)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import perm as P
 from ..functions import text as X
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 TRUTH_AT = "CASE WHEN id % 13 < 2 THEN 0 WHEN (id * 5) % 24 = 0 THEN 1 ELSE (id * 5) % 24 END"
 VOTE_AT = "CASE WHEN user_id % 3 = 0 THEN user_id % 24 ELSE truth_at END"
@@ -63,7 +63,7 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text): every document's whole text, as a caption with near copies."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def embeddings(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:

@@ -535,4 +535,4 @@ def test_every_registered_query_has_sql_or_is_known(spark):
     import __spark_entry__ as entry
 
     missing = {n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"}
-    assert missing == {"phash_pairs", "stratified_cv_auc", "boosted_trees_auc"}
+    assert missing == {"phash_pairs", "stratified_cv_auc", "boosted_trees_auc", "ordering_head"}
