@@ -12,9 +12,10 @@ threshold are done; the rest are compared with the most central member.  What is
 split is settled by products of the incidence matrices of shared shingles, in chunks of a bucket
 that fit a task; a chunk pair returns at most one link for each component it joins, no pairs.
 
-Documents are grouped by two 64-bit hashes of their whole shingle set first, so copies cost one
-row each and no pair; where sets that share the first differ in the second, they are named anew.
-A leader of very many pairs has its text dealt to several tasks.  Defined results: null text counts as empty; documents without words have an
+Documents are grouped by two 64-bit hashes of their whole shingle set first, each over another family
+of word and shingle hashes, so copies cost one row each and no pair; where sets that share the first
+differ in the second, they are named anew.  A link must be confirmed in both families.  A leader of
+very many pairs has its text dealt to several tasks.  Defined results: null text counts as empty; documents without words have an
 empty set and link with nothing; rows that share a doc_id are linked and each gets a row; a null
 doc_id has a null component and is not kept; other columns are ignored; whole texts are read.
 """
@@ -85,10 +86,10 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key
 
 
-def _set_hashes(owner: np.ndarray, gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each document's set."""
+def _set_hashes(sets: list[tuple[np.ndarray, np.ndarray]], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each document's set, one from the shingles of either family."""
     out = []
-    for salt in (0xA5A5A5A5, 0x5DEECE66D1CE4E5B):
+    for (owner, gram), salt in zip(sets, (0xA5A5A5A5, 0x5DEECE66D1CE4E5B), strict=True):
         total = np.zeros(len(n), dtype=np.uint64)
         if len(gram):
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
@@ -108,7 +109,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for at, part in blocks(texts):
                 owner, gram = shingle_sets(part)
                 n = np.bincount(owner, minlength=len(part))
-                own, other = (pa.array(h, pa.int64(), mask=n == 0) for h in _set_hashes(owner, gram, n))
+                own, other = (pa.array(h, pa.int64(), mask=n == 0) for h in _set_hashes([(owner, gram), shingle_sets(part, family=1)], n))
                 regs = pa.array([r.tobytes() for r in registers(owner, gram, len(part))], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)).cast(pa.int64()), pa.array(n, pa.int64()), own, own, other, regs], names=["doc_id", "n_shingles", "node", "own", "other", "regs"])
 
@@ -141,6 +142,17 @@ def _bands(sets: DataFrame) -> DataFrame:
     return sets.select("node", "regs").mapInArrow(run, "node long, band long")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if min(len(x), len(y)) * den < num * max(len(x), len(y)):
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    spot = np.searchsorted(y, x)
+    both_have = int((y[np.minimum(spot, len(y) - 1)] == x).sum())
+    return den * both_have >= num * (len(x) + len(y) - both_have)
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, num: int, den: int, slack: float) -> DataFrame:
     """The pairs (a, b) with den * intersection >= num * union, estimated from registers first, then counted on full sets."""
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"), F.col("regs").alias("ra"))
@@ -172,25 +184,18 @@ def _confirm(pairs: DataFrame, texts: DataFrame, num: int, den: int, slack: floa
                 for k in go:
                     need.setdefault(a[k], (2, k))
                     need.setdefault(b[k], (4, k))
-                names = list(need)
-                sets = {}
-                raw = [part.column(c)[int(k)].as_py() for c, k in need.values()]
-                for first, chunk in blocks([r.encode() for r in raw]):
-                    owner, gram = shingle_sets(chunk)
-                    cut = np.searchsorted(owner, np.arange(len(chunk) + 1))
-                    for i in range(len(chunk)):
-                        sets[names[first + i]] = gram[cut[i] : cut[i + 1]]
-                keep = []
-                for k in go:
-                    x, y = sets[a[k]], sets[b[k]]
-                    if min(len(x), len(y)) * den < num * max(len(x), len(y)):
-                        continue
-                    if len(x) > len(y):
-                        x, y = y, x
-                    spot = np.searchsorted(y, x)
-                    both_have = int((y[np.minimum(spot, len(y) - 1)] == x).sum())
-                    if den * both_have >= num * (len(x) + len(y) - both_have):
-                        keep.append(k)
+                keep = [int(k) for k in go]
+                for family in (0, 1):  # a link must hold in both: no chance agreement of hashes makes one
+                    asked = {x for k in keep for x in (a[k], b[k])}
+                    names = [x for x in need if x in asked]
+                    sets = {}
+                    raw = [part.column(c)[int(k)].as_py() for c, k in (need[x] for x in names)]
+                    for first, chunk in blocks([r.encode() for r in raw]):
+                        owner, gram = shingle_sets(chunk, family=family)
+                        cut = np.searchsorted(owner, np.arange(len(chunk) + 1))
+                        for i in range(len(chunk)):
+                            sets[names[first + i]] = gram[cut[i] : cut[i + 1]]
+                    keep = [k for k in keep if _linked(sets[a[k]], sets[b[k]], num, den)]
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -257,7 +262,7 @@ def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             keep = np.zeros(len(texts), dtype=bool)
             for at, part in blocks(texts):
                 owner, gram = shingle_sets(part)
-                have = _set_hashes(owner, gram, np.bincount(owner, minlength=len(part)))
+                have = _set_hashes([(owner, gram), shingle_sets(part, family=1)], np.bincount(owner, minlength=len(part)))
                 keep[at : at + len(part)] = [bool(x) for x in (have[0] == want[0][at : at + len(part)]) & (have[1] == want[1][at : at + len(part)])]
             yield b.select(["node", "regs", "text"]).filter(pa.array(keep))
 
@@ -265,7 +270,8 @@ def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.mapInArrow(run, "node long, regs binary, text string").dropDuplicates(["node"])
 
 
-CHUNK = 768  #: documents of a bucket compared side by side
+CHUNK = 768  #: documents of a bucket compared side by side, fewer
+CHUNK_BYTES = 16 << 20  #: where they are long
 
 
 def _joined(labels: np.ndarray, texts: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
@@ -301,14 +307,17 @@ def _joined(labels: np.ndarray, texts: list[bytes], num: int, den: int) -> list[
     for k in first:
         x, y = root(int(labels[i[k]])), root(int(labels[j[k]]))
         if x != y:
-            parent[x] = y
-            out.append((int(i[k]), int(j[k])))
+            again = [shingle_sets([texts[int(t[k])]], family=1)[1] for t in (i, j)]
+            if _linked(*again, num, den):
+                parent[x] = y
+                out.append((int(i[k]), int(j[k])))
     return out
 
 
 def _within(shared: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links between the components that meet in a bucket, over (band, node, label)."""
-    size = shared.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    bytes_of = texts.select("node", F.octet_length("text").cast("long").alias("bytes"))
+    size = shared.join(bytes_of, "node").groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("bytes") / CHUNK_BYTES)).alias("chunks"))
     x = shared.select("band", "node", "label").join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
     x = x.withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     x = x.select("band", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), "node", "label")

@@ -248,3 +248,39 @@ def test_language_edges(spark):
     assert all(r.lang_pred == "und" and r.score == 0 for r in none)
     single = ecoc_lang.predict(df, ecoc_lang.train(df.filter("lang = 'xa' and text is not null"))).collect()
     assert all((r.lang_pred, r.score) in (("xa", 1.0), ("und", 0.0)) for r in single) and any(r.lang_pred == "xa" for r in single)
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Thue-Morse words collide under every polynomial modulo 2**64; documents of them share no shingle."""
+    from tesserae.llm import hyperminhash, shingles
+
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join(word + str(i) for i in range(9))), (2, " ".join(other + str(i) for i in range(9))), (3, word), (4, other), (5, word[:128] + " x"), (6, other[:128] + " x")]
+    got = {r.doc_id: (r.component_id, r.kept) for r in hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i, True) for i in range(1, 7)}
+    words = [bytes([x]) * n for x in (97, 98) for n in range(1, 600, 7)] + [word[:k].encode() for k in (2, 63, 64, 65, 255, 256, 257, 1024)] + [other[:k].encode() for k in (64, 256, 1024)]
+    for family in (0, 1):
+        data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        h = shingles.word_hashes(data, ends - [len(w) for w in words], ends, family)
+        assert len(set(h.tolist())) == len(set(words))
+        assert h[0] == shingles.word_hashes(np.frombuffer(b"xx a", dtype=np.uint8), np.array([3]), np.array([4]), family)[0]  # not where it stands, nor what is around it
+
+
+def test_long_texts_of_a_bucket_are_bounded_by_bytes(spark, monkeypatch):
+    from tesserae.llm import hyperminhash
+
+    r = random.Random(6)
+    base = [str(r.randint(0, 10**6)) for _ in range(4000)]
+    rows = [(i, " ".join(base[: 3000 + 10 * i])) for i in range(12)]
+    monkeypatch.setattr(hyperminhash, "CHUNK_BYTES", 40_000)
+    links = hyperminhash._within(
+        spark.createDataFrame([(1, i, i) for i in range(12)], "band long, node long, label long"), spark.createDataFrame(rows, "node long, text string"), 85, 100
+    ).collect()
+    seen = {i: i for i in range(12)}
+    for a, b in links:
+        seen = {k: min(seen[a], seen[b]) if v in (seen[a], seen[b]) else v for k, v in seen.items()}
+    assert set(seen.values()) == {0}
