@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.perm import identity, is_valid, kendall_tau
+from ..sources.tables import saved
 
 
 def scored(pred: DataFrame, truth: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
@@ -60,9 +61,65 @@ def one_to_one(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
     return l.join(hit, key, "left").filter(F.when(F.col("_hit").isNull(), F.raise_error(F.lit("no match for a key")).isNotNull()).otherwise(True)).drop("_hit")
 
 
+def order_statistics(df: DataFrame, column: str, places: list[int], few: int = 10_000, accuracy: int = 1000) -> dict[int, float]:
+    """The values at given places (from 0) of the sorted non-null column, exactly, without a buffer of its values.
+
+    A mergeable quantile summary names two values around each place; one pass counts what lies below
+    and between them, and the range narrows until it has at most ``few`` different values, which are counted.
+    """
+    x = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    spans = {k: (None, None) for k in places}
+
+    def inside(lo, hi):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col("v") >= F.lit(lo))
+        return cond & (F.col("v") <= F.lit(hi)) if hi is not None else cond
+
+    below = lambda lo: F.col("v") < F.lit(lo) if lo is not None else F.lit(False)
+    out, open_ = {}, list(places)
+    while open_:
+        row = x.agg(*[c for k in open_ for c in (
+            F.count_if(below(spans[k][0])).alias(f"b{k}"), F.count_if(inside(*spans[k])).alias(f"n{k}"), F.approx_count_distinct(F.when(inside(*spans[k]), F.col("v"))).alias(f"d{k}"),
+            F.percentile_approx(F.when(inside(*spans[k]), F.col("v")), [i / 64 for i in range(65)], accuracy).alias(f"q{k}"),
+        )]).first()
+        done = []
+        for k in open_:
+            at, n, marks = k - row[f"b{k}"], row[f"n{k}"], row[f"q{k}"]
+            slack = 2 * n // accuracy + 2
+            lo = [m for i, m in enumerate(marks) if i / 64 * n + slack <= at]
+            hi = [m for i, m in enumerate(marks) if i / 64 * n - slack >= at]
+            span = (lo[-1] if lo else spans[k][0], hi[0] if hi else spans[k][1])
+            if row[f"d{k}"] <= few // 2 or span == spans[k]:
+                done.append(k)
+            spans[k] = span if k not in done else spans[k]
+        for k in done:
+            seen = 0
+            for r in x.filter(inside(*spans[k])).groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").toLocalIterator():
+                seen += r.n
+                if seen > k - row[f"b{k}"]:
+                    out[k] = r.v
+                    break
+        open_ = [k for k in open_ if k not in done]
+    return out
+
+
 def summary(df: DataFrame, column: str) -> DataFrame:
-    c = F.col(column)
-    return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("min"), F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"), F.percentile(c, 0.75).alias("p75"), F.max(c).alias("max"))
+    """(count, mean, std, min, p25, p50, p75, max); quartiles are interpolated between neighbours, exactly."""
+    c, df = F.col(column), saved(df.select(column))  # read a few times
+    n = df.agg(F.count(c)).first()[0]
+    spots = {p: (n - 1) * p for p in (0.25, 0.5, 0.75)}
+    got = order_statistics(df, column, sorted({int(f) for s in spots.values() for f in (s // 1, -(-s // 1))})) if n else {}
+
+    def quartile(p: float):
+        if not n:
+            return F.lit(None).cast("double")
+        lo, hi = int(spots[p] // 1), int(-(-spots[p] // 1))
+        return F.lit(got[lo] if lo == hi else (hi - spots[p]) * got[lo] + (spots[p] - lo) * got[hi])
+
+    mid = [quartile(p).alias(name) for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+    agg = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return agg.select("count", "mean", "std", "min", *mid, "max")
 
 
 def fold_metrics(df: DataFrame, column: str) -> DataFrame:

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.perm import PERMS, identity, index_of, is_unorderable, ints, parse_last, unshuffle
 
 
-def parse_votes(raw: DataFrame) -> DataFrame:
-    """(id, kind, rank) of raw votes (id, perm, text): fail, unorderable (no rank) or orderable in original coordinates."""
+def parse_votes(raw: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """(id, *keep, kind, rank) of raw votes (id, perm, text): fail, unorderable (no rank) or orderable in original coordinates."""
     shown = parse_last(F.col("text"))
     kind = F.when(shown.isNull(), "fail").when(is_unorderable(F.col("text")), "unorderable").otherwise("orderable")
-    return raw.select("id", kind.alias("kind"), F.when(kind == "orderable", unshuffle(shown, F.col("perm"))).alias("rank"))
+    return raw.select("id", *keep, kind.alias("kind"), F.when(kind == "orderable", unshuffle(shown, F.col("perm"))).alias("rank"))
 
 
 def tally(votes: DataFrame, by: str = "id") -> DataFrame:

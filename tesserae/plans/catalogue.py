@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import perm as P
 from ..functions import text as X
-from ..operators import calibrate, classify, hardcases, image, loglik, metrics, orderhead, similarity, votes
+from ..operators import calibrate, classify, frames, hardcases, image, loglik, metrics, orderhead, similarity, vectors, votes
 from ..sources import tables
 from . import fixtures as fx
 
@@ -426,36 +426,29 @@ def perm_accuracy(s, d):
 def ordering_head(s, d):
     """A note of every epoch of training the head on the samples' embeddings; val is three ids in ten."""
     e = fx.embeddings(s, d)
-    frames, events = [F.col(f"e{i}") for i in range(4)], [F.col(f"e{i}") for i in range(4, 7)]
-    scalars = [[*A.per_frame_similarity(frames, i), *A.event_match(frames[i], events)[1:]] for i in range(4)]
+    near = vectors.embedding_scalars(e, _FRAMES, _EVENTS).groupBy("id").agg(*[F.max(F.when(F.col("frame") == i, F.col(c))).alias(f"{c}{i}") for i in range(4) for c in vectors.SCALARS])
+    scalars = [[F.col(f"{c}{i}") for c in vectors.SCALARS] for i in range(4)]
     fold = F.when(F.col("id") % 10 < 3, "val").otherwise("train")
-    rows = e.select("id", fold.alias("fold"), orderhead.inputs(frames, events, F.col("e7"), scalars).alias("inputs"), F.expr(fx.TRUTH_AT).cast("int").alias("target"), F.when(F.col("id") % 11 == 0, 0.5).otherwise(1.0).alias("weight"))
+    e = e.join(near, "id")
+    rows = e.select("id", fold.alias("fold"), orderhead.inputs([F.col(c) for c in _FRAMES], [F.col(c) for c in _EVENTS], F.col("e7"), scalars).alias("inputs"), F.expr(fx.TRUTH_AT).cast("int").alias("target"), F.when(F.col("id") % 11 == 0, 0.5).otherwise(1.0).alias("weight"))
     notes = orderhead.train(rows).history
     out = s.createDataFrame([(n["epoch"], n["loss"], n["em"], n["tau"], n["perm_acc"], n["best"]) for n in notes], "epoch long, loss double, val_em double, tau double, perm_acc double, best boolean")
     return out.select("epoch", F.round("loss", 6).alias("loss"), F.round("val_em", 6).alias("val_em"), "tau", F.round("perm_acc", 6).alias("perm_acc"), "best")
 
 
+_FRAMES, _EVENTS = [f"e{i}" for i in range(4)], [f"e{i}" for i in range(4, 7)]
+
+
 @query
 def embedding_scalars(s, d):
-    e = fx.embeddings(s, d)
-    frames, events = [F.col(f"e{i}") for i in range(4)], [F.col(f"e{i}") for i in range(4, 7)]
-    parts = []
-    for i in range(4):
-        hi, mid, lo = A.per_frame_similarity(frames, i)
-        _, best, margin = A.event_match(frames[i], events)
-        parts.append(F.struct(F.lit(i).cast("long").alias("frame"), F.round(hi, 6).alias("ff_max"), F.round(mid, 6).alias("ff_mean"), F.round(lo, 6).alias("ff_min"), F.round(best, 6).alias("ev_best"), F.round(margin, 6).alias("margin")))
-    return e.select("id", F.inline(F.array(*parts)))
+    x = vectors.embedding_scalars(fx.embeddings(s, d), _FRAMES, _EVENTS)
+    return x.select("id", "frame", *[F.round(c, 6).alias(c) for c in vectors.SCALARS])
 
 
 @query
 def semantic_features(s, d):
-    e = fx.embeddings(s, d)
-    frames, events = [F.col(f"e{i}") for i in range(4)], [F.col(f"e{i}") for i in range(4, 7)]
-    m = [A.event_match(f, events) for f in frames]
-    caption = [A.dot(f, F.col("e7")) for f in frames]
-    ff = A.frame_similarity(frames)
-    r = lambda c, n: F.round(c, 6).alias(n)
-    return e.select("id", r(ff["ff_max"], "ff_max_sim"), r(ff["ff_mean"], "ff_mean_sim"), r(ff["ff_min"], "ff_min_sim"), long(A.collision([x[0] for x in m], 3), "fe_collision"), r(F.least(*[x[1] for x in m]), "fe_min_maxsim"), r(A.mean([x[2] for x in m]), "fe_mean_margin"), r(F.least(*caption), "fc_min_sim"), r(A.mean(caption), "fc_mean_sim"))
+    x = vectors.semantic_features(fx.embeddings(s, d), _FRAMES, _EVENTS, "e7")
+    return x.select("id", *[c if c == "fe_collision" else F.round(c, 6).alias(c) for c in vectors.SEMANTIC])
 
 
 # ---- frames, submission, budget ---------------------------------------------------------------------------
@@ -463,14 +456,13 @@ def semantic_features(s, d):
 
 @query
 def gray_stats(s, d):
-    g = image.frame_features(fx.frames(s, d))
+    g = frames.features(fx.frames(s, d))
     return g.select("id", F.round("std", 6).alias("std"), F.round("entropy", 6).alias("entropy"), "low_info", long("width"), long("height"))
 
 
 @query
 def letterbox(s, d):
-    top, bottom = A.letterbox(F.col("gray"))
-    return fx.frames(s, d).select("id", long(top, "top"), long(bottom, "bottom"), long(F.size(A.crop(F.col("gray"), top, bottom)), "rows_left"))
+    return frames.features(fx.frames(s, d)).select("id", long("top"), long("bottom"), long(F.col("height") - F.col("top") - F.col("bottom"), "rows_left"))
 
 
 @query
@@ -483,7 +475,7 @@ def pixel_cap(s, d):
 @query
 def phash_pairs(s, d):
     """Frames 4k to 4k + 3 are a sample; its six pairs, or those it has."""
-    g = image.phash(fx.frames(s, d)).groupBy(F.floor(F.col("id") / 4).alias("sample")).agg(*[F.max(F.when(F.pmod("id", F.lit(4)) == i, F.col("phash"))).alias(f"h{i}") for i in range(4)])
+    g = frames.features(fx.frames(s, d)).groupBy(F.floor(F.col("id") / 4).alias("sample")).agg(*[F.max(F.when(F.pmod("id", F.lit(4)) == i, F.col("phash"))).alias(f"h{i}") for i in range(4)])
     pairs = zip(itertools.combinations(range(4), 2), image.pair_distances([F.col(f"h{i}") for i in range(4)]), strict=True)
     x = g.select("sample", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), long(dist, "distance")) for (i, j), dist in pairs])))
     return x.filter("distance is not null").select(long(F.col("sample") * 4 + F.col("i"), "id"), long(F.col("sample") * 4 + F.col("j"), "mate"), "distance")
@@ -524,7 +516,7 @@ def describe_hard_score(s, d):
 
 @query
 def noise_policy(s, d):
-    g = image.frame_features(fx.frames(s, d)).select("id", F.col("low_info").alias("noise_flag"))
+    g = frames.features(fx.frames(s, d)).select("id", F.col("low_info").alias("noise_flag"))
     parts = [calibrate.noise_policy(g, p).agg(F.lit(p).alias("policy"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")) for p in "abc"]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

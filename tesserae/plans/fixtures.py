@@ -82,9 +82,13 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, gray): a 24 x 32 synthetic frame for every part row, some dark, some with bands."""
+    """(id, width, height, gray): a 24 x 32 synthetic frame for every part row as bytes, some dark, some with bands."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    def px(r, c):
+
+    def px(at):
+        r, c = F.floor(at / 32), at % 32
         band = (r < F.col("id") % 9) | (r >= 24 - F.col("id") % 5)
-        return F.when(band, 2).when(F.col("id") % 3 == 0, 30 + (r + c) % 4).otherwise((r * 37 + c * 11 + F.col("id") * 7) % 256).cast("int")
-    return p.select("id", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda c: px(r, c))).alias("gray"))
+        return F.when(band, 2).when(F.col("id") % 3 == 0, 30 + (r + c) % 4).otherwise((r * 37 + c * 11 + F.col("id") * 7) % 256)
+
+    cells = F.transform(F.sequence(F.lit(0), F.lit(24 * 32 - 1)), lambda at: F.lpad(F.hex(px(at).cast("long")), 2, "0"))
+    return p.select("id", F.lit(32).alias("width"), F.lit(24).alias("height"), F.unhex(F.array_join(cells, "")).alias("gray"))

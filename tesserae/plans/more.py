@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import perm as P
 from ..functions import text as X
-from ..operators import calibrate, classify, hardcases, image, loglik, metrics, votes
+from ..operators import calibrate, classify, frames, hardcases, image, loglik, metrics, vectors, votes
 from ..sources import tables
 from . import catalogue as cat
 from . import fixtures as fx
@@ -179,14 +179,15 @@ fs AS (SELECT hs.sample, hs.slot, std < 10 AS low, std, entropy, px FROM hs JOIN
 
 
 def _hashed(s: SparkSession, d: str) -> DataFrame:
-    """(id, slot, phash, gray): frames 4k to 4k + 3 are a sample; the hash is given, so that SQL has it too."""
+    """(id, slot, width, height, gray, phash): frames 4k to 4k + 3 are a sample; the hash is given, so that SQL has it too."""
     h = fx.md5_int("'h:' || CAST(frame div 2 AS STRING)").bitwiseAND(1023)
     x = fx.frames(s, d).withColumnRenamed("id", "frame")
-    return x.select(F.expr("frame div 4").alias("id"), (F.col("frame") % 4).alias("slot"), h.alias("phash"), "gray")
+    return x.select(F.expr("frame div 4").alias("id"), (F.col("frame") % 4).alias("slot"), h.alias("given"), "width", "height", "gray")
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
-    return image.frame_features(_hashed(s, d)).drop("gray")
+    x = frames.features(_hashed(s, d)).drop("phash").withColumnRenamed("given", "phash")
+    return x.withColumn("letterbox_px", F.col("top") + F.col("bottom"))
 
 
 @query(f"""WITH {FRAMES}, hx AS (SELECT sample, min(dist) AS lo, count(*) FILTER (dist <= 6) AS dup FROM hd GROUP BY sample)
@@ -200,7 +201,7 @@ def sample_frame_features(s, d):
 @query(f"WITH {DISTANCES} SELECT sample, i, j, CAST(dist AS BIGINT) AS distance FROM hd")
 def hash_pair_distances(s, d):
     """The six distances of a sample's four given hashes, or those it has."""
-    g = _hashed(s, d).groupBy("id").agg(*[F.max(F.when(F.col("slot") == i, F.col("phash"))).alias(f"h{i}") for i in range(4)])
+    g = _hashed(s, d).groupBy("id").agg(*[F.max(F.when(F.col("slot") == i, F.col("given"))).alias(f"h{i}") for i in range(4)])
     pairs = zip(A.PAIRS, image.pair_distances([F.col(f"h{i}") for i in range(4)]), strict=True)
     cells = [F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), long(dist, "distance")) for (i, j), dist in pairs]
     return g.select(F.col("id").alias("sample"), F.inline(F.array(*cells))).filter("distance is not null")
@@ -230,8 +231,8 @@ def low_level_features(s, d):
 @query("WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 3)) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e) SELECT id, round(CASE WHEN norm > 0 THEN v[1] / norm ELSE 0.0 END, 6) AS first, round(CASE WHEN norm > 0 THEN 1.0::DOUBLE ELSE 0.0 END, 6) AS norm FROM n")
 def unit_vectors(s, d):
     """Scaled vectors made unit again; the zero vector stays."""
-    e = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 3)).alias("v"))
-    u = e.select("id", A.l2_normalise(F.col("v")).alias("u"))
+    e = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 3)).alias("u"))
+    u = vectors.unit_vectors(e, "u")
     return u.select("id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.sqrt(A.dot(F.col("u"), F.col("u"))), 6).alias("norm"))
 
 
