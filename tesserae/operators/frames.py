@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .image import _dct, hash_of
+from .image import hash_of, shares
 
 STRIP = 1 << 20
 GRID = 32
@@ -27,18 +27,11 @@ def strips(height: int, width: int):
         yield lo, min(height, lo + step)
 
 
-def _shares(n: int, size: int) -> np.ndarray:
-    """(size, n): the part that each of n pixels has in each of ``size`` equal areas; every row sums to 1."""
-    edge = np.linspace(0, n, size + 1)
-    at = np.arange(n)
-    return np.clip(np.minimum(at + 1, edge[1:, None]) - np.maximum(at, edge[:-1, None]), 0, None) * (size / n)
-
-
 def measures(gray: np.ndarray, dark: float = 8.0, bins: int = 64) -> tuple[float, float, int, int, int]:
     """(population deviation, entropy in bits, dark rows at the top and at the bottom, 64-bit hash) of bytes (height, width)."""
     h, w = gray.shape
     count, sums, grid = np.zeros(256, dtype=np.int64), np.zeros(h, dtype=np.int64), np.zeros((GRID, GRID))
-    down, across = _shares(h, GRID), _shares(w, GRID)
+    down, across = shares(h, GRID), shares(w, GRID)
     for lo, hi in strips(h, w):
         part = gray[lo:hi]
         count += np.bincount(part.ravel(), minlength=256)
@@ -54,8 +47,7 @@ def measures(gray: np.ndarray, dark: float = 8.0, bins: int = 64) -> tuple[float
     entropy = abs(float(-(share * np.log2(share)).sum()))
     bright = sums / w >= dark
     ends = [min(h // 3, int(b.argmax()) if b.any() else h) for b in (bright, bright[::-1])]
-    m = _dct(GRID)
-    return std, entropy, ends[0], ends[1], hash_of((m @ grid @ m.T)[:8, :8])
+    return std, entropy, ends[0], ends[1], hash_of(grid)
 
 
 def features(frames: DataFrame, low: float = 10.0) -> DataFrame:
@@ -117,6 +109,6 @@ def scaled(px: np.ndarray, height: int, width: int) -> np.ndarray:
         first, last = np.searchsorted(rows, lo, side="right") - 1, np.searchsorted(rows, hi, side="left")
         at = np.arange(lo, hi)
         span = slice(max(first, 0), last)
-        share = np.clip(np.minimum(at + 1, rows[1:, None][span]) - np.maximum(at, rows[:-1, None][span]), 0, None) * (height / h)
-        out[span] += np.einsum("ij,jwc->iwc", share, narrow)
+        part_of = np.clip(np.minimum(at + 1, rows[1:, None][span]) - np.maximum(at, rows[:-1, None][span]), 0, None) * (height / h)
+        out[span] += np.einsum("ij,jwc->iwc", part_of, narrow)
     return np.rint(np.clip(out, 0, 255)).astype(np.uint8)

@@ -31,14 +31,22 @@ def area_means(gray: np.ndarray, height: int, width: int) -> np.ndarray:
     return gray
 
 
+def shares(n: int, size: int) -> np.ndarray:
+    """(size, n): the part that each of n pixels has in each of ``size`` equal areas; every row sums to 1."""
+    edge = np.linspace(0, n, size + 1)
+    at = np.arange(n)
+    return np.clip(np.minimum(at + 1, edge[1:, None]) - np.maximum(at, edge[:-1, None]), 0, None) * (size / n)
+
+
 def phash_array(gray: np.ndarray) -> int:
     """64-bit perceptual hash: signs of the low 8 x 8 cosine terms of a 32 x 32 reduction against their median."""
-    m = _dct(32)
-    return hash_of((m @ area_means(gray.astype(float), 32, 32) @ m.T)[:8, :8])
+    return hash_of(shares(gray.shape[0], 32) @ (gray @ shares(gray.shape[1], 32).T))
 
 
-def hash_of(low: np.ndarray) -> int:
-    """The 64 bits of the low cosine terms: which are above their median, as a signed number."""
+def hash_of(grid: np.ndarray) -> int:
+    """The hash of a 32 x 32 reduction, as a signed number."""
+    m = _dct(32)
+    low = (m @ grid @ m.T)[:8, :8]
     bits = (low > np.median(low)).ravel()
     value = int("".join("1" if b else "0" for b in bits), 2)
     return value - (1 << 64) if value >= 1 << 63 else value
