@@ -10,6 +10,8 @@ the height; hashes of frames smaller than the reduced grid take shares of their
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +52,33 @@ def measures(gray: np.ndarray, dark: float = 8.0, bins: int = 64) -> tuple[float
     return std, entropy, ends[0], ends[1], hash_of(grid)
 
 
-def features(frames: DataFrame, low: float = 10.0) -> DataFrame:
-    """Adds std, entropy, top, bottom, phash and low_info (a deviation under ``low``) to rows with width, height, gray; gray itself does not leave the task."""
+def many(gray: np.ndarray, dark: float = 8.0, bins: int = 64) -> tuple[np.ndarray, ...]:
+    """(deviations, entropies, dark rows at the top and at the bottom) of frames (n, height, width) in whole-array steps."""
+    m, h, w = gray.shape
+    n = h * w
+    count = np.bincount((np.arange(m, dtype=np.int64)[:, None] * 256 + gray.reshape(m, n)).ravel(), minlength=m * 256).reshape(m, 256)
+    value = np.arange(256)
+    s, q = count @ value, count @ (value * value)
+    at = np.minimum(np.floor(value * bins / 255.0), bins - 1).astype(int)
+    share = np.add.reduceat(count, np.searchsorted(at, np.arange(bins)), axis=1) / n
+    entropy = np.abs(-(share * np.log2(np.where(share > 0, share, 1.0))).sum(1))
+    bright = gray.sum(2, dtype=np.int64) / w >= dark
+    some = bright.any(1)
+    ends = [np.minimum(h // 3, np.where(some, b.argmax(1), h)) for b in (bright, bright[:, ::-1])]
+    return np.sqrt((n * q - s * s) / (n * n)), entropy, *ends
+
+
+def hashed(gray: np.ndarray) -> int:
+    """The hash alone, as measures gives it for a frame of one strip."""
+    h, w = gray.shape
+    return hash_of(shares(h, GRID) @ (gray @ shares(w, GRID).T))
+
+
+def features(frames: DataFrame, low: float = 10.0, hashes: bool = True) -> DataFrame:
+    """Adds std, entropy, top, bottom, phash and low_info (a deviation under ``low``) to rows with width, height, gray; gray itself does not leave the task.
+
+    Frames of one size are measured together, STRIP pixels at a time; without ``hashes``, phash is null.
+    """
     import pyarrow as pa
 
     added = [("std", pa.float64()), ("entropy", pa.float64()), ("top", pa.int32()), ("bottom", pa.int32()), ("phash", pa.int64())]
@@ -61,16 +88,26 @@ def features(frames: DataFrame, low: float = 10.0) -> DataFrame:
     def run(batches):
         for b in batches:
             gray, width, height = b.column("gray"), b.column("width").to_pylist(), b.column("height").to_pylist()
-            out = []
+            out: list[tuple] = [(None,) * 5] * b.num_rows
+            sizes = defaultdict(list)
             for i in range(b.num_rows):
-                g = gray[i]
-                if not g.is_valid or not width[i] or not height[i]:
-                    out.append((None,) * 5)
+                if not gray[i].is_valid or not width[i] or not height[i]:
+                    continue
+                if len(gray[i].as_buffer()) != width[i] * height[i]:
+                    raise ValueError(f"{len(gray[i].as_buffer())} bytes are no frame of {width[i]} x {height[i]}")
+                sizes[height[i], width[i]].append(i)
+            for (h, w), rows in sizes.items():
+                step = STRIP // (h * w)
+                if not step:  # larger than a strip
+                    for i in rows:
+                        out[i] = measures(np.frombuffer(gray[i].as_buffer(), dtype=np.uint8).reshape(h, w))
                     continue
-                px = np.frombuffer(g.as_buffer(), dtype=np.uint8)
-                if len(px) != width[i] * height[i]:
-                    raise ValueError(f"{len(px)} bytes are no frame of {width[i]} x {height[i]}")
-                out.append(measures(px.reshape(height[i], width[i])))
+                for lo in range(0, len(rows), step):
+                    part = rows[lo : lo + step]
+                    px = np.frombuffer(b"".join([gray[i].as_buffer() for i in part]), dtype=np.uint8).reshape(len(part), h, w)
+                    got = [x.tolist() for x in many(px)]
+                    for i, g, *rest in zip(part, px, *got, strict=True):
+                        out[i] = (*rest, hashed(g) if hashes else None)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(added)]], names=[*kept, *[n for n, _ in added]])
 
     return frames.select(*kept, "gray").mapInArrow(run, schema).withColumn("low_info", F.col("std") < low)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -13,6 +14,7 @@ from ..functions import arrays as A
 DUPLICATE = 6
 
 
+@functools.cache
 def _dct(n: int) -> np.ndarray:
     k = np.arange(n)
     return np.cos(np.pi * k[:, None] * (2 * k[None] + 1) / (2 * n))
@@ -31,6 +33,7 @@ def area_means(gray: np.ndarray, height: int, width: int) -> np.ndarray:
     return gray
 
 
+@functools.lru_cache(64)
 def shares(n: int, size: int) -> np.ndarray:
     """(size, n): the part that each of n pixels has in each of ``size`` equal areas; every row sums to 1."""
     edge = np.linspace(0, n, size + 1)

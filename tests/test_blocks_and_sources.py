@@ -270,3 +270,21 @@ def test_cross_validation_by_hand(spark):
 def test_rank_constants(spark):
     got = spark.range(26).select(P.rank_at(F.col("id")).alias("r"), P.index_of(P.rank_at(F.col("id"))).alias("i")).collect()
     assert [r.r for r in got[:24]] == P.PERMS and [r.i for r in got[:24]] == list(range(24)) and got[24].r is None
+
+
+def test_frames_of_one_size_are_measured_together():
+    rng = np.random.default_rng(4)
+    some = rng.integers(0, 256, (50, 24, 32)).astype(np.uint8)
+    some[3], some[4], some[5, :9], some[6, -4:] = 0, 200, 2, 7
+    got = list(zip(*frames.many(some), [frames.hashed(g) for g in some], strict=True))
+    for g, x in zip(some, got, strict=True):
+        want = frames.measures(g)
+        assert x[2:] == want[2:] and x[:2] == pytest.approx(want[:2], abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["frames"])
+def test_rows_of_one_small_file_go_to_every_core(spark, name):
+    from tesserae.plans import fixtures
+
+    df = getattr(fixtures, name)(spark, "/root/testdata/sf0.01")
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
