@@ -288,3 +288,26 @@ def test_rows_of_one_small_file_go_to_every_core(spark, name):
 
     df = getattr(fixtures, name)(spark, "/root/testdata/sf0.01")
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_noise_policy_measures_frames_once(spark, monkeypatch):
+    from tesserae.plans import catalogue
+
+    calls, plain = [], catalogue.fx.frames
+
+    def counted(s, d):
+        n = s.sparkContext.accumulator(0)
+        calls.append(n)
+
+        def run(batches):
+            for b in batches:
+                n.add(b.num_rows)
+                yield b
+
+        x = plain(s, d)
+        return x.mapInArrow(run, x.schema)
+
+    monkeypatch.setattr(catalogue.fx, "frames", counted)
+    got = {r.policy: (r.n, r.weight) for r in catalogue.QUERIES["noise_policy"](spark, "/root/testdata/sf0.001").collect()}
+    total = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert got["c"] == (total, float(total)) and got["b"][0] == total and sum(n.value for n in calls) == total
