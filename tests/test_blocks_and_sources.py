@@ -282,7 +282,7 @@ def test_frames_of_one_size_are_measured_together():
         assert x[2:] == want[2:] and x[:2] == pytest.approx(want[:2], abs=1e-12)
 
 
-@pytest.mark.parametrize("name", ["frames"])
+@pytest.mark.parametrize("name", ["frames", "captions"])
 def test_rows_of_one_small_file_go_to_every_core(spark, name):
     from tesserae.plans import fixtures
 
